@@ -1,0 +1,83 @@
+"""What the operators on pairs share: buckets that deepen, exact checks, groups.
+
+A bucket holds the records that share a key. Small buckets give all their
+pairs, whose number grows with the rows only; a bucket beyond the bound is
+split by the next, longer key of its records; what is still beyond it after
+the last key is linked in order, each record to its nearest neighbours. So no
+bucket, however hot, gives all its pairs, and none is cut off.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quernstone.tables import cut
+
+
+def bucket_pairs(rows: DataFrame, depth: int, cap: int, ratio: float, near: int = 8) -> DataFrame:
+    """Pairs (a, b), a < b, of records in one bucket; a pair may come more than once.
+
+    ``rows``: id, n (size of the record), q (whether it asks; of a pair one at
+    least does), k1 .. k<depth> (keys, each finer than the one before, null
+    where a record has no such key). Sizes of a pair differ by ``ratio`` at most.
+    """
+    out, at = [], rows.where("k1 is not null")
+    for d in range(1, depth + 1):
+        w = Window.partitionBy(f"k{d}")
+        counted = at.withColumn("c", F.count("*").over(w)).withColumn("asked", F.max("q").over(w)).where("c > 1 and asked")
+        lists = counted.where(F.col("c") <= cap).groupBy(f"k{d}").agg(F.array_sort(F.collect_list(F.struct("n", "id", "q"))).alias("l"))
+        x = lists.select("l", F.posexplode("l").alias("i", "x"))
+        out.append(_ordered(x.select("x", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("y")), ratio))
+        at = counted.where(F.col("c") > cap).drop("c", "asked")
+        if d < depth:
+            at = at.where(f"k{d + 1} is not null")
+    w = Window.partitionBy(f"k{depth}").orderBy("n", "id")
+    me = F.struct("n", "id", "q")
+    ys = F.array_compact(F.array(*[F.lag(me, i).over(w) for i in range(1, near + 1)], F.first(me).over(w)))
+    out.append(_ordered(at.select(me.alias("x"), ys.alias("ys")).select("x", F.explode("ys").alias("y")), ratio))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _ordered(pairs: DataFrame, ratio: float) -> DataFrame:
+    fits = F.least("x.n", "y.n") >= ratio * F.greatest("x.n", "y.n") - 1e-9
+    return pairs.where("x.id <> y.id and (x.q or y.q)").where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def jaccard(x: str, y: str) -> Column:
+    """Common of all values of two arrays of distinct values; 0 where both are empty."""
+    common = F.size(F.array_intersect(x, y))
+    whole = F.size(x) + F.size(y) - common
+    return F.when(whole > 0, common / whole).otherwise(F.lit(0.0))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The distinct pairs whose sets (``sets``: id, vals) reach the threshold."""
+    both = (
+        pairs.distinct()
+        .join(sets.select(F.col("id").alias("a"), F.col("vals").alias("x")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("vals").alias("y")), "b")
+    )
+    return both.where(jaccard("x", "y") >= threshold - 1e-12).select("a", "b")
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, label): the least id each id is linked to, by hooking and jumping.
+
+    ``edges`` (a, b) is read each round and should be a written table. The
+    number of rounds is about the logarithm of the longest chain.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    for _ in range(rounds):
+        seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("m"))
+        hooked = labels.join(seen, labels["id"] == seen["a"]).select("id", "label", F.least("label", "m").alias("m"))
+        # The label of a label may be less by now: jump to it.
+        over = hooked.join(labels.select(F.col("id").alias("m"), F.col("label").alias("mm")), "m", "left")
+        nxt = cut(over.select("id", F.least("m", F.coalesce("mm", "m")).alias("label"), (F.least("m", F.coalesce("mm", "m")) < F.col("label")).alias("moved")))
+        labels = nxt.select("id", "label")
+        if nxt.where("moved").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still move after {rounds} rounds")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.plans import training
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return training.queries()
 
 
 def oracle_sql() -> dict[str, str]:

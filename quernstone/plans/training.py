@@ -1,0 +1,17 @@
+"""Queries of the core's operators for training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quernstone.operators import near_notes
+from quernstone.tables import load, ship
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_notes.found(load(spark, sf_dir, "notes"))
+
+
+def queries():
+    return {"p7_found": p7_found}
