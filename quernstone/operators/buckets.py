@@ -11,41 +11,137 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.tables import cut
 
 
-def bucket_pairs(rows: DataFrame, depth: int, cap: int, ratio: float, near: int = 8) -> DataFrame:
+class _Buckets:
+    """The rows of one partition, sorted by key, bucket by bucket; at most cap + 1 rows of an open bucket are held."""
+
+    def __init__(self, cap: int, ratio: float, near: int, deeper: list[str]):
+        self.cap, self.ratio, self.near, self.deeper = cap, ratio, near, deeper
+        self.hot, self.context = None, None  # the key of a bucket beyond the bound; the rows new ones of it link to
+
+    def pairs(self, c: dict, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        n, m = c["n"][i], c["n"][j]
+        good = (np.minimum(n, m) >= self.ratio * np.maximum(n, m) - 1e-9) & (c["q"][i] | c["q"][j]) & (c["id"][i] != c["id"][j])
+        i, j = i[good], j[good]
+        x, y = c["id"][i], c["id"][j]
+        return [np.minimum(x, y), np.maximum(x, y), c["w"][i], np.maximum(c["n"][i], c["n"][j])]
+
+    def small(self, c: dict, rows: np.ndarray, ends: np.ndarray) -> list[list[np.ndarray]]:
+        """All pairs of the buckets these rows are in; ends: where the bucket of each row ends."""
+        out, step = [], 1
+        while len(rows):
+            keep = rows + step < ends
+            rows, ends = rows[keep], ends[keep]
+            if len(rows):
+                out.append(self.pairs(c, rows, rows + step))
+            step += 1
+        return out
+
+    def chain(self, c: dict, key: int) -> list[list[np.ndarray]]:
+        """The rows of a bucket no key splits, each with its neighbours and the first."""
+        old = 0
+        if self.context is not None and self.context[0] == key:
+            old = len(self.context[1]["n"])
+            c = {k: np.concatenate((self.context[1][k], c[k])) for k in c}
+        at = np.arange(max(old, 1), len(c["n"]))
+        out = [self.pairs(c, np.zeros_like(at), at)]
+        for d in range(1, self.near + 1):
+            i = at[at - d >= 1]
+            out.append(self.pairs(c, i - d, i))
+        last = np.r_[0, np.arange(max(1, len(c["n"]) - self.near), len(c["n"]))]
+        self.context = (key, {k: v[last] for k, v in c.items()})
+        return out
+
+    def run(self, batches):
+        names = ["id", "n", "q", "w", "k", *self.deeper]
+        held = None
+        for batch in chain_batches(batches):
+            if batch is not None:
+                c = {k: v.to_numpy(zero_copy_only=False) for k, v in zip(names, batch.columns)}
+                if held is not None:
+                    c = {k: np.concatenate((held[k], c[k])) for k in names}
+            elif held is None:
+                return
+            else:
+                c = held
+            size = len(c["k"])
+            if not size:
+                continue
+            starts = np.flatnonzero(np.r_[True, c["k"][1:] != c["k"][:-1]])
+            ends = np.r_[starts[1:], size]
+            upto, held = size, None
+            if batch is not None and size - starts[-1] <= self.cap and c["k"][-1] != self.hot:
+                upto = starts[-1]
+                held = {k: v[upto:] for k, v in c.items()}
+                starts, ends = starts[:-1], ends[:-1]
+            many = (ends - starts > self.cap) | (c["k"][starts] == self.hot if self.hot is not None else False)
+            if len(starts) and many[-1] and batch is not None and held is None:
+                self.hot = c["k"][-1]
+            length = ends - starts
+            ok = np.repeat(~many, length)
+            found = self.small(c, np.flatnonzero(ok), np.repeat(ends, length)[ok])
+            big = np.flatnonzero(~ok)
+            deep = {k: v[:0] for k, v in c.items()}
+            if len(big) and self.deeper:
+                deep = {k: v[big] for k, v in c.items()}
+            elif len(big):
+                for s, e in zip(starts[many], ends[many]):
+                    found += self.chain({k: v[s:e] for k, v in c.items()}, c["k"][s])
+            a, b, w, n = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(4))
+            rows, extra = len(a), len(deep["id"])
+            if not rows + extra:
+                continue
+            none = np.zeros(rows, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[a, deep["id"]]), pa.array(np.r_[b, np.zeros(extra, np.int64)]), pa.array(np.r_[np.ones(rows, bool), np.zeros(extra, bool)]),
+                    pa.array(np.r_[n, deep["n"]].astype(np.int32)), pa.array(np.r_[np.zeros(rows, bool), deep["q"]]), pa.array(np.r_[w, deep["w"]].astype(np.int32)),
+                    *[pa.array(np.r_[none, deep[k]]) for k in self.deeper],
+                ],
+                names=["id", "b", "pair", "n", "q", "w", *self.deeper],
+            )
+
+
+def chain_batches(batches):
+    yield from batches
+    yield None
+
+
+def bucket_pairs(rows: DataFrame, depth: int, cap: int, ratio: float, near: int = 8, order: tuple[str, ...] = ("n", "id")) -> DataFrame:
     """Pairs (a, b), a < b, of records in one bucket; a pair may come more than once.
 
     ``rows``: id, n (size of the record), q (whether it asks; of a pair one at
-    least does), k1 .. k<depth> (keys, each finer than the one before, null
-    where a record has no such key). Sizes of a pair differ by ``ratio`` at most.
+    least does), w (weight of a shared key), k1 .. k<depth> (keys, each finer
+    than the one before, null where a record has no such key). Sizes of a pair
+    differ by ``ratio`` at most; w and the greater n come out with the pair.
+    ``order``: of the links in a bucket that no key splits.
     """
-    out, at = [], rows.where("k1 is not null")
+    out, at = [], rows.withColumns({f"k{i}": F.coalesce(f"k{i}", F.lit(0)) for i in range(1, depth + 1)})  # 0: no key
     for d in range(1, depth + 1):
-        w = Window.partitionBy(f"k{d}")
-        counted = at.withColumn("c", F.count("*").over(w)).withColumn("asked", F.max("q").over(w)).where("c > 1 and asked")
-        lists = counted.where(F.col("c") <= cap).groupBy(f"k{d}").agg(F.array_sort(F.collect_list(F.struct("n", "id", "q"))).alias("l"))
-        x = lists.select("l", F.posexplode("l").alias("i", "x"))
-        out.append(_ordered(x.select("x", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("y")), ratio))
-        at = counted.where(F.col("c") > cap).drop("c", "asked")
-        if d < depth:
-            at = at.where(f"k{d + 1} is not null")
-    w = Window.partitionBy(f"k{depth}").orderBy("n", "id")
-    me = F.struct("n", "id", "q")
-    ys = F.array_compact(F.array(*[F.lag(me, i).over(w) for i in range(1, near + 1)], F.first(me).over(w)))
-    out.append(_ordered(at.select(me.alias("x"), ys.alias("ys")).select("x", F.explode("ys").alias("y")), ratio))
+        deeper = [f"k{i}" for i in range(d + 1, depth + 1)]
+        extra = [c for c in order if c not in ("id", "n")]
+        at = at.where(f"k{d} <> 0").select("id", "n", "q", "w", F.col(f"k{d}").alias("k"), *deeper, *extra)
+        at = at.repartition("k").sortWithinPartitions("k", *(order if d == depth else ()))
+        shape = "id bigint, b bigint, pair boolean, n int, q boolean, w int" + "".join(f", {k} bigint" for k in [*deeper, *(extra if deeper else [])])
+        work = _Buckets(cap, ratio, near, [*deeper, *extra] if deeper else [])
+        names = ["id", "n", "q", "w", "k", *deeper, *extra]
+        ran = at.select(*names).mapInArrow(work.run, shape)
+        if not deeper:
+            out.append(ran.select(F.col("id").alias("a"), "b", "w", "n"))
+            break
+        done = cut(ran)
+        out.append(done.where("pair").select(F.col("id").alias("a"), "b", "w", "n"))
+        at = done.where("not pair")
     return reduce(DataFrame.unionByName, out)
 
 
-def _ordered(pairs: DataFrame, ratio: float) -> DataFrame:
-    fits = F.least("x.n", "y.n") >= ratio * F.greatest("x.n", "y.n") - 1e-9
-    return pairs.where("x.id <> y.id and (x.q or y.q)").where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
 def jaccard(x: str, y: str) -> Column:
     """Common of all values of two arrays of distinct values; 0 where both are empty."""
     common = F.size(F.array_intersect(x, y))

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.operators import near_notes
+from quernstone.operators import history, near_notes, set_pairs
 from quernstone.tables import load, ship
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return history.found(load(spark, sf_dir, "dedup_features"), load(spark, sf_dir, "incoming_notes"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_pairs.found(load(spark, sf_dir, "discovery_index"), load(spark, sf_dir, "notes"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return near_notes.found(load(spark, sf_dir, "notes"))
 
 
 def queries():
-    return {"p7_found": p7_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
