@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.operators import history, near_notes, set_pairs
+from quernstone.operators import history, near_notes, neighbours, set_pairs
 from quernstone.tables import load, ship
 
 
@@ -14,13 +14,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return set_pairs.found(load(spark, sf_dir, "discovery_index"), load(spark, sf_dir, "notes"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neighbours.found(load(spark, sf_dir, "embedding_cache"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return near_notes.found(load(spark, sf_dir, "notes"))
 
 
 def queries():
-    return {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
