@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, mixing
+from quernstone.llm import bpe, encoding, mixing
 from quernstone.tables import load, ship
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return encoding.repair(load(spark, sf_dir, "url_extracts")).select("page_id", "field")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return encoding.repair(load(spark, sf_dir, "url_extracts"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.encode(load(spark, sf_dir, "documents"))
@@ -27,7 +37,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+    return {"p2_found": p2_found, "p2_restored": p2_restored, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
