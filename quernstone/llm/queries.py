@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, encoding, mixing
+from quernstone.llm import bpe, encoding, mixing, sentences
 from quernstone.tables import load, ship
 
 
@@ -36,8 +36,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sentences.sentence_ends(load(spark, sf_dir, "documents").where("doc_id is not null"))
+
+
 def queries():
-    return {"p2_found": p2_found, "p2_restored": p2_restored, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+    return {"p2_found": p2_found, "p2_restored": p2_restored, "p8_ids": p8_ids, "p10_found": p10_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
