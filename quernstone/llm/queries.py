@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, encoding, mixing, sentences
+from quernstone.llm import bpe, encoding, mixing, pages, sentences
 from quernstone.tables import load, ship
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pages.articles(load(spark, sf_dir, "url_extracts"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pages.spam_pages(load(spark, sf_dir, "url_extracts"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return encoding.repair(load(spark, sf_dir, "url_extracts")).select("page_id", "field")
@@ -42,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p2_found": p2_found, "p2_restored": p2_restored, "p8_ids": p8_ids, "p10_found": p10_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
+    return {"p1_found": p1_found, "p6_found": p6_found, "p2_found": p2_found, "p2_restored": p2_restored, "p8_ids": p8_ids, "p10_found": p10_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
