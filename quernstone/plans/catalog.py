@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import training
+from quernstone.plans import curation, training
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """How many documents the gate passes, and by which rules it stops the others."""
+    return curation.g0_gate(spark, sf_dir).groupBy("passed", "blocks").count()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return training.queries()
+    return curation.QUERIES | training.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return curation.SQL
