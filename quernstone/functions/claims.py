@@ -24,7 +24,7 @@ def claims(text: Column) -> Column:
 
     Sentences end at every full stop, also that of a decimal.
     """
-    sentences = F.filter(F.transform(F.split(text, r"[。！？\n.!?]+"), F.trim), lambda s: F.length(s) >= 3)
+    sentences = F.filter(F.transform(F.split(text, r"[。！？\n.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 3)
 
     def of(s: Column) -> Column:
         short = F.when(F.length(s) > 80, F.concat(F.substring(s, 1, 80), F.lit("..."))).otherwise(s)
