@@ -577,3 +577,72 @@ def t1_debounce(spark, d):
 def t8_url_cache(spark, d):
     u = load(spark, d, "url_extracts").where("url is not null")
     return u.groupBy("url").agg(F.min_by("page_id", F.struct("fetched_at", "page_id")).alias("page_id"))
+
+
+# Pages, chunks, streams ----------------------------------------------------------------
+
+
+def _escaped(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+@query(r"""with p as (select distinct page_id, trim(regexp_replace(content, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) as c, coalesce(nullif(title, ''), '') as t from url_extracts where page_id is not null and length(content) > 0)
+select page_id, case when length(c) >= 100 then true else false end as success, case when length(c) >= 100 then c end as content from p""")
+def o03_html(spark, d):
+    """The text of pages that hold each content between a menu and a footer."""
+    ship(spark)
+    from quernstone.sources.html import extract
+
+    p = load(spark, d, "url_extracts").where("page_id is not null and length(content) > 0").select("page_id", "content").distinct()
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><nav>Home News</nav><main>"), _escaped(F.col("content")), F.lit("<div class='ad-banner'>buy</div></main><footer>c</footer></body></html>"))
+    return extract(p.select("page_id", html.alias("html")), "page_id", "html").select("page_id", "success", "content")
+
+
+@query("select doc_id, length(text) <= 10000 as single, true as whole from documents where text is not null")
+def o21_chunks(spark, d):
+    """Whether a text is one chunk, and whether its chunks make it whole again."""
+    ship(spark)
+    from quernstone.sources.chunks import chunked
+
+    t = docs(spark, d)
+    c = chunked(t, "doc_id", "text").withColumn("n", F.lead("start").over(Window.partitionBy("doc_id").orderBy("chunk_pos")))
+    part = F.when(F.col("n").isNull(), F.col("chunk")).otherwise(F.expr("substring(chunk, 1, n - start)"))
+    joined = c.groupBy("doc_id").agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_pos", part.alias("x")))), lambda s: s["x"]), "").alias("back"))
+    return t.join(joined, "doc_id").select("doc_id", (F.col("k") == 1).alias("single"), (F.col("back") == F.col("text")).alias("whole"))
+
+
+@query(SQL["t2_index_latest"])
+def t2_stream(spark, d):
+    """The index kept by a stream over all rows, as the batch query has it."""
+    from quernstone.streaming.feeds import KeptTable, table_stream
+
+    kept = KeptTable(spark, "path", "updated_at")
+    kept.follow(table_stream(spark, d, "discovery_index").where("path is not null").select("path", "updated_at", "content_hash"))
+    return kept.read()
+
+
+@query("""with n as (select distinct batch_no, source, note_id from incoming_notes) select batch_no, source, count(*)::bigint as n from n group by rollup(batch_no, source)""")
+def c4_totals(spark, d):
+    n = load(spark, d, "incoming_notes").select("batch_no", "source", "note_id").distinct()
+    return n.rollup("batch_no", "source").agg(F.count("*").alias("n"))
+
+
+@query(rf"""with n as (select distinct note_id, title, created_at, content from notes where title is not null and created_at is not null and content is not null),
+c as (select note_id, '---' || chr(10) || 'title: ' || case when regexp_matches(title, '[\n\r]') then '"' || replace(replace(replace(replace(title, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r') || '"' when regexp_matches(title, '[:\[\]{{}}#&*!|>''"%@`,?\\]') then '"' || replace(replace(title, '\', '\\'), '"', '\"') || '"' else title end
+|| chr(10) || 'created: ' || created_at || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(content, '^{B_SQL}+|{B_SQL}+$', '', 'g') as markdown from n) select note_id, markdown from c""")
+def n11_markdown(spark, d):
+    n = load(spark, d, "notes").where("title is not null and created_at is not null and content is not null").select("note_id", "title", "created_at", "content").distinct()
+    return n.select("note_id", F.concat(F.lit("---\ntitle: "), T.yaml_value(F.col("title")), F.lit("\ncreated: "), "created_at", F.lit("\n---\n\n"), T.js_trim(F.col("content"))).alias("markdown"))
+
+
+@query()
+def n1_parsed_notes(spark, d):
+    """Notes out of answers, here the notes' own fields written as JSON, frontmatter or a list."""
+    ship(spark)
+    from quernstone.functions.model_output import parsed_notes
+
+    n = load(spark, d, "notes").where("title is not null and content is not null").select("note_id", "title", "content").distinct()
+    kind = F.pmod(F.xxhash64("note_id"), F.lit(3))
+    j = F.to_json(F.struct(F.array(F.struct("title", "content")).alias("notes")))
+    text = F.when(kind == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("---\ntitle: "), "title", F.lit("\n---\n"), "content")).otherwise(F.concat(F.lit("## "), "title", F.lit("\n"), "content"))
+    return parsed_notes(n.select("note_id", text.alias("answer")), "note_id", "answer").select("note_id", "pos", "title", "content")
