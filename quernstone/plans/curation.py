@@ -260,7 +260,7 @@ def o41_semantic_best(spark, d):
     return O.best_matches(e.where("id % 100 = 0"), e, 0.2).select("id", "best", F.round("similarity", 6).alias("similarity"))
 
 
-INDEX_SQL = """k as (select path, arg_max(keywords, (updated_at, keywords)) as kw from discovery_index where path is not null group by path),
+INDEX_SQL = """k as (select path, keywords as kw from (select path, keywords, row_number() over (partition by path order by updated_at desc, keywords desc nulls last) as r from discovery_index where path is not null) where r = 1),
 d as materialized (select path, list_distinct(list_filter(kw, lambda x: x is not null)) as ks from k where kw is not null), x as materialized (select path, len(ks) as n, unnest(ks) as w from d)"""
 
 
@@ -269,12 +269,12 @@ def newest_index(spark, d):
     return newest.where("kw is not null").select("path", F.array_distinct(F.filter("kw", lambda x: x.isNotNull())).alias("keywords"))
 
 
-RELATED_SQL = f"""{INDEX_SQL}, p as (select a.path as query, b.path as path, a.n as m, b.n as n, count(*) as c from x a join x b on a.w = b.w and a.path <> b.path where starts_with(a.path, 'projects/ainwol') group by all)"""
+RELATED_SQL = f"""{INDEX_SQL}, p as (select a.path as query, b.path as path, a.n as m, b.n as n, count(*) as c from x a join x b on a.w = b.w and a.path <> b.path where starts_with(a.path, 'projects/a') group by all)"""
 
 
 @query(f"with {RELATED_SQL} select query, path, round(c / (m + n - c)::double, 6) as similarity from p")
 def o42_related(spark, d):
-    return O.related(newest_index(spark, d), F.col("path").startswith("projects/ainwol")).select("query", "path", F.round("similarity", 6).alias("similarity"))
+    return O.related(newest_index(spark, d), F.col("path").startswith("projects/a")).select("query", "path", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -282,7 +282,7 @@ def o44_recommend(spark, d):
     """The best few hundred related records of each query, picked for nearness and difference, then by threshold."""
     ship(spark)
     index = newest_index(spark, d)
-    near = O.related(index, F.col("path").startswith("projects/ainwol"))
+    near = O.related(index, F.col("path").startswith("projects/a"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "path")
     few = near.withColumn("r", F.row_number().over(w)).where("r <= 500").drop("r").join(index, "path")
     return O.mmr(few, 10).where("similarity >= 0.1").select("query", "rank", "path", F.round("similarity", 6).alias("similarity"))

@@ -37,7 +37,7 @@ def cut(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*keys) if keys else df).write.parquet(path)
+    (df.sortWithinPartitions(*keys) if keys else df).write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
