@@ -81,13 +81,15 @@ def title_of(text: Column, stem: Column) -> Column:
 def hash32(text: Column) -> Column:
     """The 32-bit content hash, as eight hexadecimal signs.
 
-    The product of each step is rounded to a double before it is cut to 32 bits.
+    Each step takes its 32 bits as a signed number, and rounds the product to a
+    double before it is cut to 32 bits.
     """
     units = F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)))
     two32 = F.lit(4294967296.0)
 
     def step(h: Column, u: Column) -> Column:
-        product = (h.bitwiseXOR(u.cast("bigint"))).cast("double") * F.lit(16777619.0)
+        x = h.bitwiseXOR(u.cast("bigint"))
+        product = (x - F.when(x >= 1 << 31, F.lit(1 << 32)).otherwise(F.lit(0))).cast("double") * F.lit(16777619.0)
         return (product - F.floor(product / two32).cast("double") * two32).cast("bigint")
 
     folded = F.aggregate(F.filter(units, lambda u: u > 0), F.lit(2166136261).cast("bigint"), step)
@@ -139,6 +141,6 @@ def safe_file_name(title: Column, most: int = 100) -> Column:
 
 
 def yaml_value(value: Column) -> Column:
-    quoted = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-    lined = F.regexp_replace(F.regexp_replace(quoted, "\n", r"\\\\n"), "\r", r"\\\\r")
+    quoted = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
+    lined = F.regexp_replace(F.regexp_replace(quoted, "\n", r"\\n"), "\r", r"\\r")
     return F.when(value.rlike(r"[\n\r]"), F.concat(F.lit('"'), lined, F.lit('"'))).when(value.rlike(r"[:\[\]{}#&*!|>'\"%@`,?\\]"), F.concat(F.lit('"'), quoted, F.lit('"'))).otherwise(value)

@@ -115,7 +115,7 @@ def o22_blanks(spark, d):
 
 @query("""with u as (select distinct title from notes where title is not null and title <> ''),
 h as (select title, list_reduce(list_prepend(2166136261::double, list_transform(string_split(title, ''), lambda c: unicode(c)::double)),
- lambda a, c: xor(a::bigint, c::bigint)::double * 16777619.0 - floor(xor(a::bigint, c::bigint)::double * 16777619.0 / 4294967296.0) * 4294967296.0) as v from u)
+ lambda a, c: (((xor(a::bigint, c::bigint) + 2147483648) % 4294967296 - 2147483648)::double * 16777619.0) - floor(((xor(a::bigint, c::bigint) + 2147483648) % 4294967296 - 2147483648)::double * 16777619.0 / 4294967296.0) * 4294967296.0) as v from u)
 select title, lpad(lower(hex(v::bigint)), 8, '0') as hash from h""")
 def o23_hash32(spark, d):
     return load(spark, d, "notes").where("title is not null and title <> ''").select("title").distinct().select("title", T.hash32(F.col("title")).alias("hash"))
