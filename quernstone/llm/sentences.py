@@ -27,7 +27,7 @@ CHUNK = 64
 
 #: Abbreviations that a name, a number or a further word follows, whatever its case.
 NEVER = frozenset(
-    "dr dra mr mrs ms prof sr sra no nr nos vol vols pp cf vs approx art al abs abb fig figs sec ch ca bzw bzgl ggf vgl mio mrd tel hrsg st. mme mlle me mgr núm pág págs ej "
+    "ex dr dra mr mrs ms prof sr sra no nr nos vol vols pp cf vs approx art al abs abb fig figs sec ch ca bzw bzgl ggf vgl mio mrd tel hrsg st. mme mlle me mgr núm pág págs ej "
     "см рис стр табл т е н напр им ул кв гг г-н e.g i.e z.b d.h u.a o.ä p.ex p.ej د أ م डॉ श्री ดร พ.ศ ค.ศ z d h u a p m b s c o n gen col sgt capt rev hon sen rep ed eds trans est ave blvd"
     .split()
 )
@@ -41,7 +41,7 @@ SAYS = re.compile(
     r"[^。！？!?\n]{0,24}?(?:问道|说道|答道|喊道|叫道|问|说|道|喊|補充|补充)|(?:と|って)|[^।!?\n]{0,40}?(?:पूछा|कहा|बोल|बताया)|(?:سأل|قال|أجاب|صاح|تساءل)|[^\n]{0,30}?(?:ถาม|กล่าว|พูด)"
 )
 #: A name and who says it, where letter case tells.
-NAMED = re.compile(r"(?:[^\W\d_][\w’'-]*\s+){1,4}?(?:asked|said|cried|shouted|replied|answered|wondered|added|whispered|called|sagte|fragte|rief|antwortete|dijo|preguntó|respondió|exclamó|gritó|dit|demanda|répondit|cria|disse|perguntou|respondeu|спросил\w*|сказал\w*|ответил\w*|крикнул\w*)\b")
+NAMED = re.compile(r"(?:[^\W\d_][\w’'-]*\s+){1,4}?(?:asked|said|cried|shouted|replied|answered|wondered|added|whispered|called|sagte|fragte|rief|antwortete|dijo|preguntó|respondió|exclamó|gritó|dit|demanda|répondit|cria|disse|perguntou|respondeu|спросил\w*|сказал\w*|ответил\w*|крикнул\w*)\b(?!\s*:)")
 
 _BLANK = r"[^\S\r\n]"
 _GAP = re.compile(rf"(?:\r\n|\n|\r){_BLANK}*(?:\r\n|\n|\r)\s*")
