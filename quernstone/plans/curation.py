@@ -409,7 +409,7 @@ TERMS = f"""(len(list_filter(regexp_extract_all({MARKUP_SQL}, '\\b[a-zA-Z]{{3,}}
 
 
 @query(f"select doc_id, round({TERMS} / greatest(1, {js(MARKUP_SQL)}) * 1000.0, 6) as density from documents where text is not null")
-def p3_term_density(spark, d):
+def profile_terms(spark, d):
     return docs(spark, d).select("doc_id", F.round(_terms(T.strip_markup(F.col("text"))), 6).alias("density"))
 
 
@@ -420,7 +420,7 @@ def _terms(text):
 
 
 @query("select doc_id, len(regexp_extract_all(text, '```[\\s\\S]*?```'))::int as n from documents where text is not null")
-def p2_code_blocks(spark, d):
+def profile_code_blocks(spark, d):
     return docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"```[\s\S]*?```")).alias("n"))
 
 
@@ -428,7 +428,7 @@ NARRATIVE = "然而 但是 却 不禁 渐渐 终于 忽然 突然 似乎 仿佛
 
 
 @query("select doc_id, round((" + " + ".join(f"len(regexp_extract_all(text, '{w}'))" for w in NARRATIVE) + f") / greatest(1, {js()}) * 1000.0, 6) as density from documents where text is not null")
-def p6_narrative(spark, d):
+def profile_narrative(spark, d):
     n = sum((F.regexp_count("text", F.lit(w)) for w in NARRATIVE), F.lit(0))
     return docs(spark, d).select("doc_id", F.round(n / F.greatest(F.lit(1), T.js_len(F.col("text"))) * 1000, 6).alias("density"))
 
@@ -437,7 +437,7 @@ PARA = rf"list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lam
 
 
 @query(f"select doc_id, round(case when len({PARA}) = 0 then 0 else list_sum(list_transform({PARA}, lambda p: {js('p')})) / len({PARA})::double end, 6) as avg_len from documents where text is not null")
-def p5_paragraphs(spark, d):
+def profile_paragraphs(spark, d):
     paras = F.filter(F.transform(F.split("text", r"\n\s*\n"), T.js_trim), lambda p: p != "")
     total = F.aggregate(paras, F.lit(0), lambda a, p: a + T.js_len(p))
     return docs(spark, d).select("doc_id", F.round(F.when(F.size(paras) > 0, total / F.size(paras)).otherwise(F.lit(0.0)), 6).alias("avg_len"))
@@ -646,3 +646,109 @@ def n1_parsed_notes(spark, d):
     j = F.to_json(F.struct(F.array(F.struct("title", "content")).alias("notes")))
     text = F.when(kind == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("---\ntitle: "), "title", F.lit("\n---\n"), "content")).otherwise(F.concat(F.lit("## "), "title", F.lit("\n"), "content"))
     return parsed_notes(n.select("note_id", text.alias("answer")), "note_id", "answer").select("note_id", "pos", "title", "content")
+
+
+# More of vectors, gate and profile, notes, review and counts ------------------------------
+
+
+@query(f"""with {WEIGHT_SQL}, nn as (select doc_id, sqrt(sum(w * w)) as norm, count(*) as k from w group by doc_id),
+t as (select doc_id, token from (select doc_id, token, row_number() over (partition by doc_id order by round(w, 9) desc, pos) as r from w) where r <= 5),
+c as (select distinct a.doc_id as x, b.doc_id as y from t a join t b on a.token = b.token and a.doc_id < b.doc_id where a.doc_id % 100 = 0 or b.doc_id % 100 = 0),
+d as (select x, y, sum(p.w * q.w) as dot from c join w p on p.doc_id = x join w q on q.doc_id = y and q.token = p.token group by x, y)
+select x, y, round(case when least(n.k, m.k) < 3 then 0 else least(1, dot / (n.norm * m.norm)) end, 6) as cosine from d join nn n on n.doc_id = x join nn m on m.doc_id = y""")
+def o33_cosine(spark, d):
+    """Cosine of each hundredth document with the documents that share one of their heaviest tokens."""
+    weighted, norms = O.vectors(docs(spark, d), "doc_id", "text")
+    top = O.top_tokens(weighted, "doc_id").select("doc_id", "token")
+    asked = top.where("doc_id % 100 = 0")
+    met = asked.select(F.col("doc_id").alias("a"), "token").join(top.select(F.col("doc_id").alias("b"), "token"), "token").where("a <> b")
+    pairs = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    side = lambda i, v: weighted.select(F.col("doc_id").alias(i), "token", F.col("w").alias(v))
+    dots = pairs.join(side("x", "p"), "x").join(side("y", "q"), ["y", "token"]).groupBy("x", "y").agg(F.sum(F.col("p") * F.col("q")).alias("dot"))
+    n = norms.select(F.col("doc_id").alias("x"), F.col("norm").alias("n1"), F.col("n_tok").alias("k1"))
+    m = norms.select(F.col("doc_id").alias("y"), F.col("norm").alias("n2"), F.col("n_tok").alias("k2"))
+    cosine = F.when(F.least("k1", "k2") < 3, 0.0).otherwise(F.least(F.lit(1.0), F.col("dot") / (F.col("n1") * F.col("n2"))))
+    return dots.join(n, "x").join(m, "y").select("x", "y", F.round(cosine, 6).alias("cosine"))
+
+
+@query(f"""with b as materialized (select * from {bag_sql('documents', 'doc_id', 'text', 2)}), r as (select doc_id, freq, row_number() over (partition by doc_id order by freq desc, pos) as r, count(*) over (partition by doc_id) as uniq from b),
+d as (select doc_id, {js()} as len, {FACTOR} as f from documents where text is not null),
+s as (select d.doc_id, max(freq / (greatest(len, 1) / 100.0)) filter (where freq >= 5 and freq / (greatest(len, 1) / 100.0) >= 1.5 * least(2, 1 + (f - 1) * 0.5)) as rate, any_value(f) as f from d join r using (doc_id) where r <= 5 and len >= 200 and uniq >= 10 group by d.doc_id)
+select d.doc_id, case when rate is null then 'ok' when rate >= 3 * least(2, 1 + (d.f - 1) * 0.5) then 'block' else 'warn' end as status from d left join s using (doc_id)""")
+def g3_stuffing(spark, d):
+    b = O.bag(docs(spark, d), "doc_id", "text", 2)
+    few = b.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("freq"), "pos"))).withColumn("uniq", F.count("*").over(Window.partitionBy("doc_id"))).where("r <= 5 and uniq >= 10")
+    base = docs(spark, d).select("doc_id", T.js_len(F.col("text")).alias("len"), F.least(F.lit(2.0), 1 + (G.length_factor(F.col("text")) - 1) * 0.5).alias("s"))
+    rate = F.col("freq") / (F.greatest("len", F.lit(1)) / 100)
+    most = base.where("len >= 200").join(few, "doc_id").where((F.col("freq") >= 5) & (rate >= 1.5 * F.col("s"))).groupBy("doc_id").agg(F.max(rate).alias("rate"))
+    status = F.when(F.col("rate").isNull(), "ok").when(F.col("rate") >= 3 * F.col("s"), "block").otherwise("warn")
+    return base.join(most, "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+DATA = [
+    r"(?:约|近|超|达)?\d+(?:\.\d+)?%",
+    r"(?i)\d+(?:\.\d+)?\s*(?:mV|kV|V|mW|kW|MW|GW|TW|W|mWh|kWh|MWh|GWh|mA|kA|A|Ω|mΩ|Hz|kHz|MHz|GHz|μF|mF|nF|pF|°C|°F|mm|cm|m|km|kg|t|Pa|kPa|MPa|bar|ppm|ppb|dB|dBm)",
+    r"\d+(?:\.\d+)?\s*(?:万亿|亿|千万|百万|万|千)\s*(?:元|美元|欧元|人|台|套|条|座|个|辆|次)?",
+]
+YEAR = r"\d{4}(?:[-/年]\d{1,2}(?:[-/月]\d{1,2})?)?"
+
+
+def _data_points(text):
+    years = F.filter(F.regexp_extract_all(text, F.lit(rf"(?<!\d){YEAR}(?!\d)"), 0), lambda y: F.substring(y, 1, 4).cast("int").between(1900, 2100))
+    return F.size(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 0) for p in DATA], years)))
+
+
+@query()
+def profile_data(spark, d):
+    t = T.strip_markup(F.col("text"))
+    return docs(spark, d).select("doc_id", F.round(_data_points(t) / F.greatest(F.lit(1), T.js_len(t)) * 1000, 6).alias("density"))
+
+
+@query()
+def profile_of(spark, d):
+    """dense, sparse or balanced of every text."""
+    t = F.col("text")
+    plain = T.strip_markup(t)
+    paras = F.filter(F.transform(F.split(plain, r"\n\s*\n"), T.js_trim), lambda p: p != "")
+    mean = F.when(F.size(paras) > 0, F.aggregate(paras, F.lit(0), lambda a, p: a + T.js_len(p)) / F.size(paras)).otherwise(0.0)
+    told = sum((F.regexp_count(plain, F.lit(w)) for w in NARRATIVE), F.lit(0)) / F.greatest(F.lit(1), T.js_len(plain)) * 1000
+    points = _data_points(plain) / F.greatest(F.lit(1), T.js_len(plain)) * 1000
+    dense = (F.regexp_count(t, F.lit(r"```[\s\S]*?```")) >= 1) | (_terms(plain) >= 5) | (points >= 4)
+    return docs(spark, d).select("doc_id", F.when(T.js_len(t) < 100, "balanced").when(dense, "dense").when((mean > 300) & (told >= 2), "sparse").otherwise("balanced").alias("profile"))
+
+
+@query("""with s as (select distinct note_id, doc_pos, 1 + length(coalesce(title, '')) % 5 as a, 1 + length(coalesce(content, '')) % 5 as b from notes where note_id is not null), f as (select note_id, doc_pos, a + b as final from s)
+select note_id, final::int as final_score, case when final >= 8 then '优' when final >= 6 then '良' when final >= 4 then '中' else '差' end as grade, row_number() over (order by final desc, doc_pos, note_id)::int as place from f where final >= 6""".replace(", row_number() over (order by final desc, doc_pos, note_id)::int as place", ""))
+def o57_review(spark, d):
+    """Scores of two parts added, graded, and kept from a threshold on; here the parts come from lengths."""
+    n = load(spark, d, "notes").where("note_id is not null").select("note_id", F.length(F.coalesce("title", F.lit(""))).alias("a"), F.length(F.coalesce("content", F.lit(""))).alias("b"), "doc_pos").distinct()
+    final = (2 + F.col("a") % 5 + F.col("b") % 5).cast("int")
+    grade = F.when(F.col("final_score") >= 8, "优").when(F.col("final_score") >= 6, "良").when(F.col("final_score") >= 4, "中").otherwise("差")
+    return n.select("note_id", final.alias("final_score")).where("final_score >= 6").withColumn("grade", grade)
+
+
+@query("""with n as (select distinct note_id, source, title from incoming_notes), i as (select note_id, row_number() over (partition by source order by note_id) as old_pos, source from n where source is not null),
+k as (select * from i where note_id in (select note_id from n where title is not null)) select note_id, old_pos::int as old_pos, row_number() over (partition by source order by note_id)::int as new_pos from k""")
+def o48_remap(spark, d):
+    """Pending rows whose note is kept, with their places before and after."""
+    n = load(spark, d, "incoming_notes").select("note_id", "source", "title").distinct()
+    w = Window.partitionBy("source").orderBy("note_id")
+    i = n.where("source is not null").withColumn("old_pos", F.row_number().over(w))
+    kept = n.where("title is not null").select("note_id").distinct()
+    return i.join(kept, "note_id", "left_semi").withColumn("new_pos", F.row_number().over(w)).select("note_id", "old_pos", "new_pos")
+
+
+@query(r"""with n as (select distinct note_id, content from notes where content is not null), c as (select note_id, list_concat(regexp_extract_all(content, '\*\*([^*\n]{2,20})\*\*', 1), regexp_extract_all(content, '[（(]([^（()）\n]{2,20})[)）]', 1), regexp_extract_all(content, '[“「『"]([^”」』"\n]{2,20})[”」』"]', 1)) as l from n)
+select note_id, array_to_string(list_slice(l, 1, 6), '|') as candidates from c where len(l) > 0""")
+def n9_tag_candidates(spark, d):
+    """What a text sets in bold, brackets or marks of quotation, six at most."""
+    c = F.col("content")
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), 1) for p in (r"\*\*([^*\n]{2,20})\*\*", r"[（(]([^（()）\n]{2,20})[)）]", r"[“「『\"]([^”」』\"\n]{2,20})[”」』\"]")])
+    n = load(spark, d, "notes").where("content is not null").select("note_id", "content").distinct()
+    return n.select("note_id", found.alias("l")).where(F.size("l") > 0).select("note_id", F.array_join(F.slice("l", 1, 6), "|").alias("candidates"))
+
+
+@query("""select count(*)::bigint as pages, count(*) filter (where success)::bigint as read, count(*) filter (where error_code is not null)::bigint as failed, round(avg(length(content)), 6) as mean_len from (select distinct page_id, success, error_code, content from url_extracts)""")
+def o62_stats(spark, d):
+    p = load(spark, d, "url_extracts").select("page_id", "success", "error_code", "content").distinct()
+    return p.agg(F.count("*").alias("pages"), F.count_if("success").alias("read"), F.count_if(F.col("error_code").isNotNull()).alias("failed"), F.round(F.avg(F.length("content")), 6).alias("mean_len"))
