@@ -11,7 +11,7 @@ from quernstone.functions import claims as C
 from quernstone.functions import gate as G
 from quernstone.functions import text as T
 from quernstone.operators import corpus as O
-from quernstone.tables import load, ship
+from quernstone.tables import cut, load, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -448,15 +448,15 @@ def g0_gate(spark, d):
     """Cheap rules on all texts, those on tokens only where none of them blocks."""
     t = F.col("text")
     cheap = {"length": G.length_status(t, BAL), "quality": G.quality_status(t, BAL), "html": G.html_status(t, BAL), "mojibake": G.mojibake_status(t, BAL), "link": G.link_status(t, BAL), "noise": G.noise_status(t, BAL)}
-    base = docs(spark, d).select("doc_id", "text", F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("status")) for k, v in cheap.items()]).alias("found"))
-    blocked = F.exists("found", lambda r: r["status"] == "block")
-    open_ = base.where(~blocked)
-    sums = O.bag(open_, "doc_id", "text", 2).groupBy("doc_id").agg(F.sum("freq").alias("total"), F.count("*").alias("uniq"))
-    both = base.join(sums, "doc_id", "left").na.fill(0, ["total", "uniq"])
-    found = F.concat("found", F.array(F.struct(F.lit("density").alias("rule"), G.density_status(F.col("total"), F.col("uniq"), BAL).alias("status"))))
-    names = lambda s: F.array_join(F.transform(F.filter("all", lambda r: r["status"] == s), lambda r: r["rule"]), ",")
+    found = F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("status")) for k, v in cheap.items()])
     most = F.least(F.lit(6), F.greatest(F.lit(3), F.floor(1.8 * G.length_factor(t))))
-    done = both.select("doc_id", "text", found.alias("all")).select("doc_id", names("block").alias("blocks"), names("warn").alias("warnings"), (F.size(F.filter("all", lambda r: r["status"] == "warn")) >= most).alias("many"))
+    base = cut(docs(spark, d).select("doc_id", found.alias("found"), most.alias("most")))
+    open_ = base.where(~F.exists("found", lambda r: r["status"] == "block")).select("doc_id")
+    sums = O.bag(docs(spark, d).join(open_, "doc_id", "left_semi"), "doc_id", "text", 2).groupBy("doc_id").agg(F.sum("freq").alias("total"), F.count("*").alias("uniq"))
+    both = base.join(sums, "doc_id", "left").na.fill(0, ["total", "uniq"])
+    every = F.concat("found", F.array(F.struct(F.lit("density").alias("rule"), G.density_status(F.col("total"), F.col("uniq"), BAL).alias("status"))))
+    names = lambda s: F.array_join(F.transform(F.filter("every", lambda r: r["status"] == s), lambda r: r["rule"]), ",")
+    done = both.select("doc_id", "most", every.alias("every")).select("doc_id", names("block").alias("blocks"), names("warn").alias("warnings"), (F.size(F.filter("every", lambda r: r["status"] == "warn")) >= F.col("most")).alias("many"))
     return done.select("doc_id", ((F.col("blocks") == "") & ~F.col("many")).alias("passed"), "blocks", "warnings")
 
 
@@ -664,7 +664,7 @@ def o33_cosine(spark, d):
     met = asked.select(F.col("doc_id").alias("a"), "token").join(top.select(F.col("doc_id").alias("b"), "token"), "token").where("a <> b")
     pairs = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     side = lambda i, v: weighted.select(F.col("doc_id").alias(i), "token", F.col("w").alias(v))
-    dots = pairs.join(side("x", "p"), "x").join(side("y", "q"), ["y", "token"]).groupBy("x", "y").agg(F.sum(F.col("p") * F.col("q")).alias("dot"))
+    dots = pairs.join(side("x", "p").hint("merge"), "x").join(side("y", "q").hint("merge"), ["y", "token"]).groupBy("x", "y").agg(F.sum(F.col("p") * F.col("q")).alias("dot"))
     n = norms.select(F.col("doc_id").alias("x"), F.col("norm").alias("n1"), F.col("n_tok").alias("k1"))
     m = norms.select(F.col("doc_id").alias("y"), F.col("norm").alias("n2"), F.col("n_tok").alias("k2"))
     cosine = F.when(F.least("k1", "k2") < 3, 0.0).otherwise(F.least(F.lit(1.0), F.col("dot") / (F.col("n1") * F.col("n2"))))
