@@ -241,14 +241,31 @@ def o39_near_fingerprints(spark, d):
     return O.near_fingerprints(f, f).where("id_x < id_y").select("id_x", "id_y", F.col("distance").cast("int").alias("distance"))
 
 
-@query()
+EDGES_SQL = f"""r as materialized (select distinct batch_no, doc_pos, coalesce(title, '') as title, content from incoming_notes where content is not null),
+e as (select batch_no, doc_pos, unnest(ts) as token, generate_subscripts(ts, 1) as pos from (select batch_no, doc_pos, {tokens_sql('content')} as ts from r)),
+b as materialized (select batch_no, doc_pos, token, count(*) as freq, min(pos) as pos from e group by all),
+l as materialized (select batch_no, doc_pos, {js('content')} as len, avg({js('content')}) over (partition by batch_no) as avg_len, count(*) over (partition by batch_no) as n from r),
+i as (select batch_no, token, ln((any_value(n) + 1) / (count(*) + 1)::double) + 1 as idf from b join l using (batch_no, doc_pos) group by batch_no, token),
+w as materialized (select batch_no, doc_pos, token, pos, freq / (freq + 1.5 * (0.25 + 0.75 * len / avg_len)) * idf as w from b join l using (batch_no, doc_pos) join i using (batch_no, token)),
+t as (select batch_no, doc_pos, list(token) as top from (select *, row_number() over (partition by batch_no, doc_pos order by round(w, 9) desc, pos) as k from w) where k <= 5 group by all),
+m as (select batch_no, doc_pos, sqrt(sum(w * w)) as norm, count(*) as k from w group by all),
+x as materialized (select r.*, l.len, coalesce(t.top, []) as top, coalesce(m.norm, 0) as norm, coalesce(m.k, 0) as k, list_distinct({tokens_sql('r.title', 2)}) as tt from r join l using (batch_no, doc_pos) left join t using (batch_no, doc_pos) left join m using (batch_no, doc_pos)),
+p as (select a.batch_no, a.doc_pos as i, b.doc_pos as j, a.content as ca, b.content as cb, a.len as la, b.len as lb, a.norm as na, b.norm as nb, least(a.k, b.k) as k,
+ len(list_intersect(a.top, b.top)) as ti, len(a.top) + len(b.top) as ts, len(list_intersect(a.tt, b.tt)) as ui, len(a.tt) + len(b.tt) as us
+ from x a join x b on a.batch_no = b.batch_no and a.doc_pos < b.doc_pos and least(a.len, b.len) >= 0.7 * greatest(a.len, b.len) and (len(list_intersect(a.top, b.top)) > 0 or least(a.len, b.len) <= 30)),
+q as (select p.batch_no, i, j, sum(u.w * v.w) as dot from p join w u on u.batch_no = p.batch_no and u.doc_pos = i join w v on v.batch_no = p.batch_no and v.doc_pos = j and v.token = u.token group by all),
+s as (select p.batch_no, i, j, round(case when greatest(la, lb) < 100 then case when 1 - levenshtein(ca, cb) / greatest(length(ca), length(cb))::double >= 0.7 then 1 - levenshtein(ca, cb) / greatest(length(ca), length(cb))::double else 0 end
+ else 0.5 * case when k < 3 or na = 0 or nb = 0 then 0 else least(1, coalesce(dot, 0) / (na * nb)) end + 0.3 * case when ts > ti then ti / (ts - ti)::double else 0 end + 0.2 * case when us > ui then ui / (us - ui)::double else 0 end end, 9) as score from p left join q using (batch_no, i, j))"""
+
+
+@query("with " + EDGES_SQL + " select batch_no, i, j, round(score, 6) as score from s where score > 0.3")
 def o31_batch_edges(spark, d):
-    return O.batch_edges(load(spark, d, "incoming_notes"), 0.5)
+    return O.batch_edges(load(spark, d, "incoming_notes"), 0.3).withColumn("score", F.round("score", 6))
 
 
 @query()
 def o31_batch_duplicates(spark, d):
-    return O.greedy_survivors(O.batch_edges(load(spark, d, "incoming_notes"), 0.5))
+    return O.greedy_survivors(O.batch_edges(load(spark, d, "incoming_notes"), 0.3))
 
 
 @query("""with q as (select vec_id, embedding from embeddings where vec_id % 100 = 0),
@@ -752,3 +769,26 @@ def n9_tag_candidates(spark, d):
 def o62_stats(spark, d):
     p = load(spark, d, "url_extracts").select("page_id", "success", "error_code", "content").distinct()
     return p.agg(F.count("*").alias("pages"), F.count_if("success").alias("read"), F.count_if(F.col("error_code").isNotNull()).alias("failed"), F.round(F.avg(F.length("content")), 6).alias("mean_len"))
+
+
+@query("""with n as (select path, arg_max(tokens, (mtime, len(tokens))) as ts from (select path, mtime, coalesce(tokens, []) as tokens from dedup_features where path is not null) group by path)
+select t as token, count(*)::bigint as df from (select distinct path, unnest(list_transform(ts, lambda x: x.token)) as t from n) group by t""")
+def t5_document_counts(spark, d):
+    """How many texts have a token, kept by what came and what was replaced."""
+    from quernstone.streaming.feeds import document_counts
+
+    rows = load(spark, d, "dedup_features").where("path is not null").select("path", "mtime", F.coalesce("tokens.token", F.array().cast("array<string>")).alias("ts")).distinct()
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc(F.size("ts")))))
+    flat = ranked.select("r", F.explode(F.array_distinct("ts")).alias("token"))
+    return document_counts(None, flat.select("token"), flat.where("r > 1").select("token"))
+
+
+@query()
+def o25_words(spark, d):
+    """Words of CJK runs by a dictionary; here the collection's own keywords, the 5000 most used."""
+    ship(spark)
+    from quernstone.functions.segment import bags
+
+    words = load(spark, d, "discovery_index").select(F.explode("keywords").alias("w")).where(F.col("w").rlike("^[一-鿿]{2,4}$"))
+    few = {r.w: r["count"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(5000).collect()}
+    return bags(docs(spark, d), "doc_id", "text", few).where("token like 'W:%'")
