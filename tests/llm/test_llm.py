@@ -153,9 +153,11 @@ def test_pages(spark):
         content = "\n".join(["Home | News | Contact | Search", "", *body, "Popular this week", "How the depot was lent", "© 2010 Stagor Media. All rights reserved.", "Back to top ↑"])
         rows.append((i, "stagor.example", body[0], content))
     spam = "\n".join(f"cheap kettle {w} order {i}" for i, w in enumerate(["boiler", "mill", "loom", "pump", "press", "canal", "dyke", "depot", "ferry", "jetty"]))
+    cloud = " ".join(f"#{w} {w} order" for w in ["boiler", "mill", "loom", "pump", "press", "canal", "dyke", "depot"] * 3)
+    rows += [(54, "cloud.example", "tags", cloud)]
     rows += [(50, "spam.example", "kettle best cheap", spam), (51, "n.example", "T", "Home | News\n© 2001 N\nBack to top ↑"), (52, "e.example", None, None), (53, "e.example", None, ""), rows[0]]
     df = spark.createDataFrame([(*r, 3) for r in rows], "page_id bigint, host string, title string, content string, line_no int")
-    assert {r.page_id for r in pages.spam_pages(df).collect()} == {50}
+    assert {r.page_id for r in pages.spam_pages(df).collect()} == {50, 54}
     got = {}
     for r in pages.articles(df).collect():
         got.setdefault(r.page_id, []).append(r.line_no)
