@@ -1,33 +1,32 @@
 """Near-duplicate records by bottom-k sketches (problem 7).
 
-A text's shingles get one hash each. The index keeps the smallest values of
-those that are not common in the collection, then the common ones (both by the
-same hash); the inverted lists of these values generate the pairs. A second
-sketch, the plain smallest values, estimates a pair's similarity from the
-smallest values of the union, and exact Jaccard similarity decides.
+A text's sketch is the smallest hashes of its shingles. Two texts whose
+estimate, the smallest values of the union, is near the threshold share many
+values of their sketches, so they share two among the rarest of each: these
+are in the inverted lists. Every pair of a list is looked at: short lists give
+all their pairs; long ones first link neighbours, then every two texts that
+are in different groups meet in blocks. Exact Jaccard similarity decides.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.operators.buckets import bucket_pairs, components
+from quernstone.operators.buckets import bucket_pairs, chain_batches, components
 from quernstone.tables import cut
 
 SHINGLE = 5
-INDEXED = 12  # values a text has in the inverted lists, the uncommon first
-PLAIN = 4  # runs of plain smallest values it has there besides: they hold where a group is so large that its own values are common
-ESTIMATED = 20  # values of the sketch for the estimate
+ESTIMATED = 20  # values of the sketch
 SLACK = 0.4  # an estimate may fall short of the threshold by so much (four standard errors)
-CAP = 12
-SHARED = 2  # values a pair has in common at least: at the threshold, one pair in a thousand has less
+CAP = 12  # texts of a list that gives all its pairs at once
+BLOCK = 4000  # texts of a block of a longer list
+BEST = (4, 64)  # pairs of a text that are checked before the groups are looked at again; then all others
 FEW = 200_000  # pairs whose ids, 16 bytes each, may be broadcast
-#: The common shingles are learned from at most so many texts.
+#: How common a value is, is learned from at most so many texts.
 SAMPLE = 20_000
-COMMON = 0.002
 HASH_BITS, TABLE_BITS = 44, 22
 
 
@@ -54,28 +53,26 @@ def _chunks(batch: pa.RecordBatch, rows: int = 1000):
         yield batch.slice(start, rows)
 
 
-def common_shingles(texts: DataFrame, rows: int) -> np.ndarray:
-    """A bit per slot of the hash table: whether its shingles are in more than COMMON of the texts.
+def value_counts(texts: DataFrame, rows: int) -> np.ndarray:
+    """How many sketches of a sample have the values of each slot of a table of fixed size.
 
-    At most (mean shingles of a text) / COMMON slots are found, and the table
-    has a fixed size, whatever the collection. Any table gives right results:
-    it only orders the values.
+    Any table gives right results: it only orders the values.
     """
 
     def run(batches):
         for batch in batches:
             for part in _chunks(batch):
-                _, h = shingles(part.column(0).to_pylist())
-                slot, n = np.unique((h >> np.uint64(HASH_BITS - TABLE_BITS)).astype(np.int32), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["slot", "n"])
+                own, h = shingles(part.column(0).to_pylist())
+                h = h[_first(own, np.ones(len(own), bool), np.full(part.num_rows, ESTIMATED))]
+                slot, n = np.unique((h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
     step = max(1, -(-rows // SAMPLE))
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
-    least = max(40.0, COMMON * rows / step)
-    found = sample.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[[r.slot for r in found.select("slot").collect()]] = True
-    return np.packbits(table)
+    found = sample.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 2").collect()
+    table = np.zeros(1 << TABLE_BITS, np.int32)
+    table[[r.slot for r in found]] = [r.n for r in found]
+    return table
 
 
 def _first(own: np.ndarray, keep: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -86,27 +83,32 @@ def _first(own: np.ndarray, keep: np.ndarray, most: np.ndarray) -> np.ndarray:
     return keep & (rank - before[own] <= most[own])
 
 
-def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """id, n (shingles), idx (values in the inverted lists), est (values of the estimate)."""
-    held = texts.sparkSession.sparkContext.broadcast(common)  # 2^22 bits
+def sketches(texts: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
+    """id, n (shingles), idx (values in the inverted lists), est (values of the sketch).
 
-    def lists(own: np.ndarray, h: np.ndarray, pick: np.ndarray, n: int, kind: type) -> pa.Array:
-        ends = np.searchsorted(own[pick], np.arange(n + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(h[pick].astype(kind)))
+    Of a sketch of m values, at least share * m are in that of a text alike:
+    two such have two values in common among the rarest m - share * m + 2 of
+    each (one if they have no more).
+    """
+    held = texts.sparkSession.sparkContext.broadcast(counts)  # 2^24 bytes
+
+    def lists(own: np.ndarray, h: np.ndarray, n: int, kind: type) -> pa.Array:
+        ends = np.searchsorted(own, np.arange(n + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(h.astype(kind)))
 
     def run(batches):
-        table = np.unpackbits(held.value).astype(bool)
         for batch in batches:
             for part in _chunks(batch):
                 n = part.num_rows
                 own, h = shingles(part.column(1).to_pylist())
-                hot = table[(h >> np.uint64(HASH_BITS - TABLE_BITS)).astype(np.int64)]
-                rare = _first(own, ~hot, np.full(n, INDEXED))
-                room = INDEXED - np.bincount(own[rare], minlength=n)
-                idx = lists(own, h, rare | _first(own, hot, room), n, np.int64)
-                est = lists(own, h >> np.uint64(HASH_BITS - 31), _first(own, np.ones(len(own), bool), np.full(n, ESTIMATED)), n, np.int32)
                 sizes = pa.array(np.bincount(own, minlength=n).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, idx, est], names=["id", "n", "idx", "est"])
+                small = _first(own, np.ones(len(own), bool), np.full(n, ESTIMATED))
+                own, h = own[small], h[small]
+                est = lists(own, h >> np.uint64(HASH_BITS - 31), n, np.int32)
+                rare = np.lexsort((h, held.value[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)], own))
+                m = np.bincount(own, minlength=n)
+                pick = _first(own, np.ones(len(own), bool), m - np.ceil(share * m - 1e-9).astype(np.int64) + 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, lists(own[pick], h[rare][pick], n, np.int64), est], names=["id", "n", "idx", "est"])
 
     return texts.select("id", "text").mapInArrow(run, "id bigint, n int, idx array<bigint>, est array<int>")
 
@@ -136,20 +138,119 @@ def exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ``texts`` (id, text; each text once) that reach the threshold, as a written table."""
-    sk = cut(sketches(texts, common_shingles(texts, texts.count())).where("n > 0"))
-    run = lambda c, n: F.hash(*[F.get(c, F.col("i") + i) for i in range(n)]).cast("bigint")  # noqa: E731 (finer keys only split a bucket)
-    head = ["id", "n", F.lit(True).alias("q"), F.lit(1).alias("w")]
-    rare = sk.select("id", "n", "idx", F.posexplode("idx").alias("i", "v")).select(*head, F.col("v").alias("k1"), run("idx", 2).alias("k2"), run("idx", 3).alias("k3"))
-    plain = sk.select("id", "n", "est", F.explode(F.sequence(F.lit(0), F.least(F.lit(PLAIN), F.size("est")) - 1)).alias("i"))
-    rows = rare.unionByName(plain.select(*head, F.xxhash64(*[F.get("est", F.col("i") + i) for i in range(3)]).alias("k1"), run("est", 5).alias("k2"), run("est", 7).alias("k3")))
-    pairs = bucket_pairs(rows, 3, CAP, threshold, near=4).groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= F.lit(SHARED))
+def estimated(pairs: DataFrame, sk: DataFrame, share: float) -> DataFrame:
+    """(a, b, e) of the pairs whose estimate e reaches ``share``."""
     est = sk.select("id", "est")
     both = pairs.join(est.select(F.col("id").alias("a"), F.col("est").alias("x")), "a").join(est.select(F.col("id").alias("b"), F.col("est").alias("y")), "b")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, ESTIMATED)
-    near = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y"))) >= (threshold - SLACK) * F.size(union)
-    return cut(exact(both.where(near).select("a", "b"), texts, threshold))
+    e = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y"))) / F.size(union)
+    return both.select("a", "b", e.alias("e")).where(F.col("e") >= share - 1e-9)
+
+
+def _meet(ids, n, side, label, est, threshold: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell, in different groups, whose sketches share enough values; side 0 meets side 1, side 2 itself."""
+    m = np.fromiter(map(len, est), np.int64, len(est))
+    at = np.full((len(m), ESTIMATED), -1, np.int64)
+    at[np.arange(ESTIMATED) < m[:, None]] = np.concatenate(est)
+    values, at = np.unique(at, return_inverse=True)
+    at = at.reshape(len(m), ESTIMATED)
+    there = np.zeros(len(values), bool)
+    out = []
+    alone = side[0] == 2
+    right = np.arange(len(m)) if alone else np.flatnonzero(side == 1)
+    theirs = at[right]
+    for i in range(len(m)) if alone else np.flatnonzero(side == 0):
+        mine = at[i, : m[i]]
+        there[mine] = True
+        many = there[theirs].sum(axis=1) >= share * np.maximum(m[i], m[right]) - 1e-9
+        there[mine] = False
+        j = right[many & (right > i)] if alone else right[many]
+        j = j[(label[j] != label[i]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)]
+        out.append((np.full(len(j), i), j))
+    i, j = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+
+def across(hot: DataFrame, sk: DataFrame, linked: DataFrame, threshold: float, share: float) -> DataFrame:
+    """Distinct pairs (a, b) of a list of ``hot`` (k, id) that are in different groups of ``linked``.
+
+    The greatest group of a list need not meet itself, the others meet it and
+    one another, in cells of two blocks, whose number a list's rows decide.
+    """
+    rows = hot.join(components(linked), "id", "left").select("k", "id", F.coalesce("label", "id").alias("label"))
+    own = rows.groupBy("k", "label").count()
+    most = own.groupBy("k").agg(F.sum("count").alias("all"), F.max("count").alias("held"), F.max_by("label", F.struct("count", "label")).alias("main")).where("all > held")
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    rows = rows.join(most, "k").withColumns({"main": F.col("label") == F.col("main"), "nr": blocks(F.col("all") - F.col("held")), "nd": blocks(F.col("held"))})
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("nd")).otherwise(F.col("nr"))))
+    cell = lambda kind, i, j, side: F.struct(F.xxhash64("k", F.lit(kind), i.cast("bigint"), j.cast("bigint")).alias("cell"), side.cast("int").alias("side"))
+    i = F.col("i")
+    other = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: cell(0, F.least(i, j), F.greatest(i, j), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
+    cells = F.when(F.col("main"), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: cell(1, j, i, F.lit(1)))).otherwise(
+        F.concat(other, F.transform(F.sequence(F.lit(0), F.col("nd") - 1), lambda j: cell(1, i, j, F.lit(0))))
+    )
+    rows = rows.select("id", "label", F.explode(cells).alias("c")).select("c.*", "id", "label").join(sk.select("id", "n", "est"), "id")
+
+    def run(batches):
+        held = None
+        for batch in chain_batches(batches):
+            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks() if batch is not None or held is not None else None
+            if table is None or not table.num_rows:
+                continue
+            whole = table.to_batches()[0]
+            k = whole.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            ends = np.r_[starts[1:], len(k)]
+            held = None
+            if batch is not None:
+                held = whole.slice(starts[-1])
+                starts, ends = starts[:-1], ends[:-1]
+            if not len(starts):
+                continue
+            side, ids, label, n = (whole.column(x).to_numpy() for x in range(1, 5))
+            at, flat = whole.column(5).offsets.to_numpy(), whole.column(5).values.to_numpy()
+            found = [
+                _meet(ids[s:e], n[s:e], side[s:e], label[s:e], [flat[at[x] : at[x + 1]] for x in range(s, e)], threshold, share)
+                for s, e in zip(starts, ends)
+            ]
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = rows.select("cell", "side", "id", "label", "n", "est").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (id, text; each text once) that reach the threshold, as a written table.
+
+    Of the pairs within a group not all are there, but those that hold it together.
+    """
+    share = threshold - SLACK
+    sk = cut(sketches(texts, value_counts(texts, texts.count()), share).where("n > 0"))
+    alike = F.hash(*[F.get("est", F.lit(i)) for i in range(3)]).cast("bigint")  # the order of links in a long list
+    rows = sk.select("id", "n", alike.alias("g"), F.explode("idx").alias("k")).withColumn("k", F.col("k") + 1)
+    shared = cut(rows.withColumn("df", F.count("*").over(Window.partitionBy("k"))).where("df > 1"))
+    near = bucket_pairs(shared.select("id", "n", F.lit(True).alias("q"), F.lit(1).alias("w"), F.col("k").alias("k1"), "g"), 1, CAP, threshold, near=1, order=("g", "id"))
+    # A pair with fewer short lists in common has a long one, and meets there.
+    near = near.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= F.least(F.lit(2), "n"))
+    linked = cut(exact(estimated(near.select("a", "b"), sk, share).select("a", "b"), texts, threshold))
+    left = cut(estimated(across(shared.where(F.col("df") > CAP).select("k", "id"), sk, linked, threshold, share), sk, share))
+    for best in (*BEST, None):
+        if left.isEmpty():
+            break
+        if best is None:
+            tried = left
+        else:
+            rank = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("e"), y))
+            tried = cut(left.withColumns({"i": rank("a", "b"), "j": rank("b", "a")}).where(F.least("i", "j") <= best).select("a", "b"))
+        linked = cut(linked.unionByName(exact(tried.select("a", "b"), texts, threshold)))
+        if best is not None:
+            labels = components(linked)
+            rest = left.join(tried, ["a", "b"], "left_anti")
+            for x in ("a", "b"):
+                rest = rest.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"of_{x}")), x, "left")
+            left = cut(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "e"))
+    return linked
 
 
 def plain_text(title, content):

@@ -57,6 +57,25 @@ def test_near_notes_match_brute_force(spark):
     assert ("same1", "same2") in want
 
 
+def test_near_notes_star_family(spark):
+    """Variants of a base that are alike to the base only: all of them are found."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    base = [rng.choice(letters) for _ in range(1000)]
+    texts = ["".join(base)]
+    for _ in range(300):
+        signs = list(base)
+        for at in rng.sample(range(1000), 28):
+            signs[at] = rng.choice(letters)
+        texts.append("".join(signs))
+    sets = [shingles(t) for t in texts]
+    with_base = {i for i, s in enumerate(sets) if jaccard(s, sets[0]) >= 0.7}
+    assert len(with_base) > 295 and max(jaccard(sets[i], sets[j]) for i in range(1, 40) for j in range(1, i)) < 0.7
+    df = spark.createDataFrame([(f"n{i}", None, t, 1, "x") for i, t in enumerate(texts)], NOTES)
+    got = near_notes.groups(df).collect()
+    assert {int(r.key[1:]) for r in got} >= with_base and len({r.label for r in got}) == 1
+
+
 def test_near_notes_empty_and_long(spark):
     empty = spark.createDataFrame([], NOTES)
     assert near_notes.found(empty).count() == 0
