@@ -4,14 +4,13 @@ In each tree every distinct set is written as its values in the order of that
 tree's hash, the least first: a minhash signature. Sets with a common prefix
 are neighbours; where too many share a prefix, the prefix is taken longer. The
 forest finds a pair of similarity s at depth d with chance 1 - (1 - s^d)^trees.
-A value so common that its prefixes are always deepened has an exact index
-besides, by prefix filtering: only the sets that could be similar through such
-values alone are in it. Exact similarity decides on every pair.
+Where a hot prefix hides a pair from all trees, an exact index by prefix
+filtering, over every value, has it. Exact similarity decides on every pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.buckets import bucket_pairs, jaccard
@@ -19,9 +18,8 @@ from quernstone.tables import cut
 
 TREES = 10
 CAP = 32
-#: A value in more than this share of the distinct sets is common.
-COMMON = 0.0005
-LEAST_COMMON = 24
+#: Sets of one value, size and place that meet in one task.
+SALTED = 5000
 
 
 def clean(values: Column) -> Column:
@@ -52,33 +50,31 @@ def forest(sets: DataFrame, threshold: float) -> DataFrame:
     return bucket_pairs(at.select("id", "n", F.lit(True).alias("q"), F.lit(1).alias("w"), *[k.alias(f"k{d + 1}") for d, k in enumerate(keys)]), 4, CAP, threshold, near=4)
 
 
-def common_values(sets: DataFrame, rows: int) -> DataFrame:
-    """(v, df) of the values in many sets: at most (mean size of a set) / COMMON rows."""
-    counts = sets.select(F.explode("vals").alias("v")).groupBy("v").agg(F.count("*").alias("df"))
-    return counts.where(F.col("df") > max(LEAST_COMMON, COMMON * rows))
-
-
-def prefix_pairs(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets that share a common value in their prefixes, the rarest values first.
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets that share a value in their prefixes, the rarest values first.
 
     Two similar sets share a value among the first n - ceil(threshold * n) + 1
-    of each. Only sets whose uncommon values don't fill that prefix are here; a
-    key holds the value, and the size and place of both sides, so that sides
-    which can't reach the threshold never meet.
+    of each. A key holds the value, and the size and place of both sides, so
+    that sides which can't reach the threshold never meet; hot keys are salted.
     """
     need = lambda x, y: F.ceil(F.lit(threshold / (1 + threshold)) * (x + y) - 1e-9)
-    flat = sets.select("id", F.size("vals").alias("n"), F.explode("vals").alias("v")).join(F.broadcast(common), "v")
-    hot = flat.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("l"))
-    place = hot.select("id", "n", (F.col("n") - F.size("l")).alias("rare"), F.posexplode("l").alias("j", "e"))
-    place = place.select("id", "n", (F.col("rare") + F.col("j")).alias("i"), F.col("e.v").alias("v"))
-    place = cut(place.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)))
-    kinds = place.select("v", "n", "i").distinct()
+    flat = sets.select("id", F.size("vals").alias("n"), F.explode("vals").alias("v"))
+    flat = flat.join(flat.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v")
+    shared = flat.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("l"))
+    # Values of one set only come first in the order.
+    place = shared.select("id", "n", (F.col("n") - F.size("l")).alias("own"), F.posexplode("l").alias("j", "e"))
+    place = place.select("id", "n", (F.col("own") + F.col("j")).alias("i"), F.col("e.v").alias("v"))
+    place = place.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9))
+    place = cut(place.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("v", "n", "i")) / F.lit(SALTED)).cast("int")))
+    kinds = place.select("v", "n", "i", "parts").distinct()
     # Of each value, the kinds of sets that can be similar: a few sizes and places.
-    x, y = kinds.select("v", F.col("n").alias("n1"), F.col("i").alias("i1")), kinds.select("v", F.col("n").alias("n2"), F.col("i").alias("i2"))
+    x, y = kinds.select("v", F.col("n").alias("n1"), F.col("i").alias("i1")), kinds.select("v", F.col("n").alias("n2"), F.col("i").alias("i2"), "parts")
     reach = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) + F.least("i1", "i2")
     fits = x.join(y, "v").where((F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9) & (reach >= need(F.col("n1"), F.col("n2"))))
+    fits = fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     left = place.hint("merge").select(F.col("id").alias("x"), "v", F.col("n").alias("n1"), F.col("i").alias("i1")).join(fits, ["v", "n1", "i1"])
-    both = left.hint("merge").join(place.hint("merge").select(F.col("id").alias("y"), "v", F.col("n").alias("n2"), F.col("i").alias("i2")), ["v", "n2", "i2"])
+    right = place.select(F.col("id").alias("y"), "v", F.col("n").alias("n2"), F.col("i").alias("i2"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    both = left.hint("merge").join(right.hint("merge"), ["v", "n2", "i2", "part"])
     return both.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -90,8 +86,7 @@ def set_classes(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different sets that reach the threshold, as a written table."""
-    common = common_values(sets, sets.count())
-    near = forest(sets, threshold).select("a", "b").unionByName(prefix_pairs(sets, common, threshold)).distinct()
+    near = forest(sets, threshold).select("a", "b").unionByName(prefix_pairs(sets, threshold)).distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("vals").alias("x")), sets.select(F.col("id").alias("b"), F.col("vals").alias("y"))
     return cut(near.join(x, "a").join(y, "b").where(jaccard("x", "y") >= threshold - 1e-12).select("a", "b"))
 

@@ -128,6 +128,14 @@ def test_set_pairs_match_brute_force(spark):
     assert got == want
 
 
+def test_set_pairs_of_a_family_in_many_sets(spark):
+    """A family whose core is hot in all trees but in few of all sets: every pair is found."""
+    family = [(i, list(range(1, 9)) + [100 + i]) for i in range(1, 101)]
+    others = spark.range(1000, 241_000).selectExpr("id", "array(id) as vals")
+    sets = others.unionByName(spark.createDataFrame(family, "id bigint, vals array<bigint>"))
+    assert set_pairs.links(sets, 0.6).distinct().count() == 4950
+
+
 def test_set_pairs_empty(spark):
     assert set_pairs.found(spark.createDataFrame([], INDEX), spark.createDataFrame([], "note_id string, tags array<string>")).count() == 0
 
