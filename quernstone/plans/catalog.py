@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import curation, training
+from quernstone.plans import curation
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return curation.QUERIES | training.queries()
+    return dict(curation.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

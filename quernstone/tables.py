@@ -17,18 +17,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only where the session names none (local tests) a temporary one is set.
+    Only where the session names none and runs in one process (local tests) a
+    temporary one is set; on a cluster that would be a folder of each machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isEmpty():
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-"))
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
     return option.get()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the session runs in one process."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def cut(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` written to the shared folder as a table and read back.
 
@@ -57,7 +65,7 @@ def ship(spark: SparkSession) -> None:
     import shutil
 
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_quernstone", False):
+    if is_local(spark) or getattr(sc, "_quernstone", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "quernstone"), "zip", root, "quernstone")
