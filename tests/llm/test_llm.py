@@ -142,6 +142,27 @@ def test_encoding_repair(spark):
     assert encoding.repair(df.where("false")).count() == 0
 
 
+def test_short_titles_are_found_at_every_size(spark):
+    words = ["Bücherei", "Küferei", "Gießerei", "señal", "quesería", "destilería", "écluse", "fenêtre", "Böschung", "Sägerei"]
+    through = [("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1251", "cp1252"), ("gbk", "utf-8")]
+    planted, spoilt = [], 0
+    for i, w in enumerate(words):
+        for j, (read, written) in enumerate(through):
+            try:
+                planted.append((10_000 + 10 * i + j, "plain text", f"The {w} of Nor{i}".encode(written).decode(read)))
+            except UnicodeDecodeError:
+                spoilt += 1
+    assert len(planted) > 25
+    found = {}
+    for size in (400, 4000):
+        clean = [(i, f"Die {words[i % 10]} von Ort {i} — la {words[i * 7 % 10]} número {i} wurde geprüft.", f"Über {words[i % 10]}") for i in range(size)]
+        df = spark.createDataFrame(clean + planted * (size // 400), "page_id bigint, content string, title string")
+        got = {(r.page_id, r.field) for r in encoding.repair(df).collect()}
+        assert all(p >= 10_000 for p, _ in got)
+        found[size] = {p for p, _ in got}
+    assert found[400] == found[4000] and len(found[400]) >= 0.95 * len(planted)
+
+
 ARTICLE = ["The mill of Ardel", "When the council opened the mill, the loom inside had already been moved to the harbour.", "Each loom costs about 71 crowns, while a copper boiler from Tormab is sold for 330.", "The old pump", "Critics say that the pump should be cleaned before the winter comes again."]
 
 
