@@ -1,16 +1,23 @@
 """Main content of web pages (problem 1) and pages without sentences (problem 6).
 
-Template deduction: the lines of the pages of a host are its tokens; lines that
-occur on the same pages form an equivalence class, and a class on several pages
-is part of the host's template. Lines that occur so on many hosts, whatever the
-site's name in them, belong to the template of sites at large, which serves
-hosts with few pages. What is left are the slots; the one that begins at the
-page's headline holds the article, and the marks of bylines, prompts, teasers
-and comments take the rest out of it.
-
-Spam: phrases of the lines that are no sentences are counted by the hosts they
-are on; a page mostly made of such lines is a case where they are links, repeat
-a few terms, or are stitched from phrases found elsewhere.
+Template deduction. The tokens of a page are its lines, with the site's name
+and numbers masked. Lines of a host that occur on the same pages have the same
+occurrence vector and form an equivalence class. A class with enough support
+among the host's articles is valid if its lines keep their order; the best
+supported one is the host's root, and the others are nested in the slot of the
+root they always fall into. Hosts with few pages deduce little by themselves:
+over all hosts, lines, and how lines begin and end, form the template of sites
+at large where they are on a share of the hosts, under many articles, and are
+no titles. What such a token is for is read off what follows it: headings of
+lists to other stories are followed by short lines, those of remarks have
+speakers around them. What is left are the slots; the one that begins at the
+page's headline holds the article.
+
+Spam. Phrases of all pages are exploded and the distinct hosts of each counted.
+A page is a case if its own text is for the most part outside of sentences and
+stitched from phrases replicated on other hosts, or is lists of links.
+
+No word list of any language is used.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,77 +34,38 @@ from pyspark.sql import functions as F
 
 from quernstone.tables import cut
 
-#: Pages of a host with other articles that share a line at least, to make it the host's template.
-HOST_PAGES = 3
-#: Hosts that share a line at least, to make it the template of sites at large.
-SHARED_HOSTS = 12
-
-_WORDS = {
-    # Words of navigation.
-    "nav": "home about contact news jobs events travel menu archive donate opinion search culture podcasts shop science login weather inicio archivo empleo agenda noticias viajes entrar tiempo menú opinión buscar contacto donar ciencia cultura tienda start kontakt nachrichten wissen menü suche termine meinung laden reise archiv stellen anmelden wetter kultur spenden accueil archives actualités recherche sciences emplois voyage dons boutique débats connexion météo главная архив наука работа погода войти новости афиша мнения меню культура контакты поиск магазин 首页 新闻 文化 观点 科学 播客 活动 商店 天气 招聘 搜索 旅行 登录 关于我们 存档 菜单 联系 ホーム ニュース 意見 科学 イベント ショップ 天気 旅行 採用 検索 メニュー お問い合わせ 会社概要 início notícias viagens".split(),
-}
-_NAV = frozenset(_WORDS["nav"]) | {"über uns", "sobre nosotros", "à propos", "о нас", "quiénes somos", "qui sommes-nous", "ログイン", "ポッドキャスト", "アーカイブ"}
-_SPLIT = re.compile(r"\s*[|·›/»•>]\s*|\s{2,}|^\s*[*•–-]\s+")
-
-#: Notices, prompts and the like, by how the line begins or what it holds; in lower case.
-_DROP = re.compile(
-    r"cookies? (?:to|policy before)|needs cookies|your privacy matters|store information on your device|by continuing you agree|^essential only|accept all|handles data$|"
-    r"privatsphäre|verwendet cookies|alle akzeptieren|nur notwendige|partnern (?:verarbeiten|speichern)|usa cookies|aceptar todo|privacidad|su dispositivo|solo esenciales|nous traitons des données|utilise des cookies|tout accepter|vie privée|votre appareil|essentiels uniquement|"
-    r"使用cookie|隐私条款|接受 \||仅必要|全部接受|重视您的隐私|cookieを|クッキー|同意する|プライバシー|端末の情報|必須のみ|файлы cookie|cookie\.|принять|конфиденциальност|только необходимые|aceitar|seus dados|sua privacidade|"
-    r"^(?:©|\(c\) ?\d|® )|all rights reserved|alle rechte|derechos reservados|droits réservés|版权所有|все права|无断转载|無断転載|direitos reservados|"
-    r"back to top|nach oben ?↑|volver arriba|haut de page|返回顶部|ページの先頭|наверх|voltar ao topo|^imprint\b|^impressum\b|aviso legal|mentions légales|隐私政策|利用規約|^правила\b|terms of use|accessibility$|barrierefreiheit|mapa do site|plan du site|"
-    r"built with care|follow us|síganos|suivez-nous|folgen sie uns|关注我们|フォロー|мы в соцсетях|siga-nos|is run by volunteers|write to desk@|wird in .* gemacht|post an desk@|desk@|备案编号|"
-    r"free articles? left|freie artikel|artículos? (?:gratis|gratuitos)|articles? gratuits?|本月还可|無料記事|бесплатн|artigos grátis|"
-    r"^\[?skip to|^listen to this|点击收听|この記事を聴く|^escuch|^écout|^artikel (?:teilen|anhören)|^anhören|^слушать|^ouça|share this|^share\b.*[:|]|^compart|^partager|分享到|この記事を共有|^поделиться|"
-    r"^sign up for|weekly letter|^den rundbrief|rundbrief|^reciba cada semana|boletín|订阅|週刊レター|lettre hebdo|^recevez|^подпи|^receba|newsletter|"
-    r"^(?:advertisement|anzeige|publicidad|publicité|广告|реклама|広告|publicidade|sponsored|gesponsert|patrocinado|sponsorisé|赞助内容|スポンサー|werbung|pr)\b|赞助内容|^nach der anzeige|continues below|story continues|"
-    r"^(?:read (?:also|more|next)|see also|lesen sie auch|mehr zum thema|lea también|lea además|à lire aussi|lire aussi|延伸阅读|相关阅读|関連記事|あわせて読みたい|читайте также|leia também)\b|^延伸阅读|^あわせて読みたい|^相关阅读|"
-    r"^last updated|^updated\b|^published\b|^posted\b|^stand: ?\d|^aktualisiert|^veröffentlicht|^publié|^mis à jour|^actualizado|^publicado|^发布于|^更新于|^公開|^更新日|^опубликовано|^обновлено|"
-    r"^lesezeit|min(?:ute)? read|minutes?\)$|temps de lecture|tiempo de lectura|lectura de \d|阅读 ?\d|分で読めます|読了|^время чтения|tempo de leitura|"
-    r"staff writer|^(?:by|von|por|par|text:|words by) [^.!?]{2,60}$|^作者|^来源|^责任编辑|^编辑[：:]|^文[：:/／]|^автор|^текст:|^autor[a]?:|^autor |^redacción|^rédaction|^redaktion|^記者|^取材|^文：|^著者|"
-    r"^(?:reply|antworten|responder|répondre|回复|返信|ответить)\b.*|^回复|^返信|评论（|^comments? \(|^kommentare|^comentarios|^commentaires|^コメント|^комментарии|^comentários|"
-    r"^\d+ (?:comments|kommentare|comentarios|commentaires)$|continue reading|weiterlesen|seguir leyendo|lire la suite|阅读全文|続きを読む|читать далее"
-)
-#: What stands above teasers to other stories.
-_MORE = re.compile(
-    r"^(?:most read|popular this week|related stories|you may also like|more from|trending|meistgelesen|das könnte sie|mehr von|verwandte|lo más leído|más de |le puede interesar|también le|les plus lus|à découvrir|plus de |sur le même|热门文章|相关推荐|猜你喜欢|更多来自|本周排行|人気|おすすめ|関連|.{1,12}の(?:他の|その他の)|самое читаемое|популярное|ещё (?:от|из|на)|вам может|читают|mais lidas|mais de |leia mais)"
-)
-_COMMENTS = re.compile(r"^(?:comments?\b|kommentare|comentarios|commentaires|评论|コメント|комментарии|comentários).{0,12}\(?（?\d*")
-_REPLY = re.compile(r"^(?:reply|antworten|responder|répondre|回复|返信|ответить)\b.*|^回复|^返信", re.I)
-_SPEAKER = re.compile(r"([^:：.!?。！？]{2,40}?)(?: says| schreibt| dice| a écrit)? ?(?:\d+ ?(?:天|日|小时|時間)前)?[:：] ?\S")
+#: Share of a host's pages, and articles at least, a line of its template is on.
+HOST_SHARE, HOST_ARTICLES = 0.02, 3
+#: A class that is not nested in a slot of the root needs this share.
+FREE_SHARE = 0.05
+#: Share of all hosts, and hosts at least, a token of sites at large is on.
+WIDE_SHARE, WIDE_HOSTS = 0.0015, 6
+#: Pages whose title begins or ends so, for each line that does, make a token a title's.
+TITLED = 0.02
+#: Share of a token's places followed by a short line, from which it heads a list; with a speaker around, from which it marks remarks.
+HEADS, TALKS = 0.95, 0.3
+#: Roles of tokens.
+DROP, MORE, TALK = 1, 2, 3
+#: Share of the hosts, and hosts at least, a replicated phrase is on.
+SPREAD_SHARE, SPREAD_HOSTS = 0.0005, 3
+#: A page is a case from these shares: of its own text, outside of sentences; of that, words in replicated phrases, or
+#: lines that are links, or lines that have the same word.
+OUTSIDE, COPIED, LINKED, REPEATED = 0.55, 0.3, 0.4, 0.6
+#: Lines or bytes that a page's own text has at least, to be judged.
+LEAST_LINES, LEAST_BYTES = 5, 300
+#: Lines of a list to other stories, at most.
+TEASERS = 6
+#: Bits of the table of replicated phrases: its size is fixed.
+TABLE_BITS = 26
+
 _END = re.compile(r"[.!?。！？؟।][”\"’»」』)）\]]*$")
-_LINK = re.compile(r"https?://|www\.|→ ?[\w-]+\.\w+|\b[\w-]+\.(?:example|test|invalid|com|org|net)/")
+_LINK = re.compile(r"https?://|www\.|→ ?[\w-]+\.\w+|\b[\w-]+\.[a-z]{2,8}/")
 _ITEM = re.compile(r"^\s*(?:[-*•–»]|\d+[.)]|\[\d+\])\s")
-_SECTION = re.compile(r"^[^.!?。]{2,20} ?[(（]\d+[)）](?: ?[|·].*)?$")
-_BYDATE = re.compile(r"^[^.!?。:：]{2,40}[,，|·] ?(?:\d{1,2}[. ]|\w+ )?[^.!?]{0,12}(?:18|19|20)\d\d$|^\D{0,12}\d{4}[-/年.]\d{1,2}(?:[-/月.]\d{1,2}日?)?$|^\D{0,12}\d{1,2}[./]\d{1,2}[./]\d{2,4}$")
-
-
-def _parts(pattern: str) -> list[str]:
-    """The alternatives of a pattern, those within brackets and classes aside."""
-    out, depth, at = [""], 0, 0
-    while at < len(pattern):
-        c = pattern[at]
-        if c == "\\":
-            out[-1] += pattern[at : at + 2]
-            at += 2
-            continue
-        depth += (c in "([") - (c in ")]")
-        if c == "|" and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-        at += 1
-    return out
-
-
-#: The same marks, sorted by what finds them fastest: at the beginning, as plain text, and the rest.
-_BEGIN = re.compile("|".join(p[1:] for p in _parts(_DROP.pattern) if p.startswith("^")))
-_PLAIN = [p.replace("\\", "") for p in _parts(_DROP.pattern) if not p.startswith("^") and re.fullmatch(r"(?:[^\\^$.?*+()\[\]{}|]|\\[ .|])+", p)]
-_OTHER = re.compile("|".join(p for p in _parts(_DROP.pattern) if not p.startswith("^") and p.replace("\\", "") not in _PLAIN))
-
-
-def _marked(low: str) -> bool:
-    return bool(_BEGIN.match(low)) or any(p in low for p in _PLAIN) or bool(_OTHER.search(low))
+#: Structure that stands in articles: items, captions and references in brackets, quotations.
+_MARK = re.compile(r"^(?:[-*•–»\[“„«「『\"]|\d+[.)])")
+_EAST = re.compile("[぀-ヿ㐀-鿿]")
+_HEAD = re.compile(r"[^:：|｜·–—\d#]{1,24}[:：|｜·–—]")
+_VALUE = re.compile(r"[:：] ?[\d.,]+|\|")
 
 
 @lru_cache(50_000)
@@ -108,14 +77,6 @@ def masked(line: str, site: str) -> str:
     return re.sub(r"\d+", "#", low)
 
 
-@lru_cache(200_000)
-def is_nav(line: str) -> bool:
-    if len(line) >= 220:
-        return False
-    parts = [p.strip().lower() for p in _SPLIT.split(line.strip()) if p and p.strip()]
-    return bool(parts) and sum(p in _NAV for p in parts) >= max(1, 0.6 * len(parts))
-
-
 @lru_cache(8192)
 def is_prose(line: str) -> bool:
     """Whether the line ends as a sentence and is long enough to be one."""
@@ -123,257 +84,376 @@ def is_prose(line: str) -> bool:
     return bool(_END.search(x[-12:])) and (len(x) >= 45 or len(x.encode()) >= 45) and not _LINK.search(x[:12])
 
 
-@lru_cache(200_000)
-def is_notice(line: str) -> bool:
-    low = line.strip().lower()
-    if len(low) >= 140:
-        return low.startswith("©")
-    return _marked(low) or len(low) < 90 and (bool(_SECTION.match(line.strip())) or bool(_BYDATE.match(line.strip())))
-
-
 @lru_cache(8192)
 def is_body(line: str) -> bool:
     """Prose, or a line as long as a paragraph, whose end may be garbled."""
     return is_prose(line) or len(line) >= 150 and not _LINK.search(line)
 
 
-def kept(lines: list[str], title: str | None, template: set[int]) -> list[int]:
+def speaker(s: str) -> tuple[str, bool, bool] | None:
+    """(name, whether words on saying follow, whether a number is among these) of who a line gives the words of.
+
+    A name of at most three words, then at most four small ones, then a colon.
+    """
+    if ":" not in s[:48] and "：" not in s[:48] or _ITEM.match(s):
+        return None
+    said = re.split("[:：]", s[:48], maxsplit=1)[0].strip()
+    words = said.split()
+    names = next((n for n, w in enumerate(words) if w[0].islower() or w[0].isdigit()), len(words))
+    after = words[names:]
+    plain = len(after) <= 4 and all(w[0].islower() or w[0].isdigit() for w in after) and (not after or len(s) - len(said) >= 12)
+    good = 1 <= names <= 3 and plain and not re.search(r"[.!?。！？]", said) and not any(c.isdigit() for w in words[:names] for c in w)
+    ago = any(w[0].isdigit() for w in after) and any(not w.isdigit() for w in after)
+    return (" ".join(words[:names]), bool(after), ago) if good and 2 <= len(said) <= 40 and len(s) > len(said) + 2 else None
+
+
+def _site(host: str | None) -> str:
+    return (host or "").lower().removeprefix("www.").split(".")[0]
+
+
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) >> 1
+
+
+def _edges(key: str) -> tuple[int, int, int]:
+    """How a masked line begins (up to a mark or its first words, and its first word) and ends, as tokens."""
+    if m := _HEAD.match(key):
+        head = m.group(0)
+    elif _EAST.match(key):
+        head = key[:3]
+    else:
+        head = " ".join(key.split()[:2])
+    tail = key[-3:] if _EAST.search(key[-2:]) else " ".join(key.split()[-2:])
+    return _hash("H" + head), _hash("T" + tail), _hash("1" + (key.split() or [""])[0])
+
+
+@lru_cache(20_000)
+def _tokens(key: str) -> tuple[int, tuple[int, int, int]]:
+    return _hash("L" + key), _edges(key)
+
+
+class Page:
+    """The lines of a page and their tokens."""
+
+    def __init__(self, host: str | None, title: str | None, content: str):
+        self.site, self.title = _site(host), (title or "").strip()
+        self.x = [s.strip() for s in content.split("\n")]
+        self.at = [i for i, s in enumerate(self.x) if s]
+        self.name = masked(self.title, self.site) if self.title else ""
+        self.keys = {i: masked(self.x[i], self.site) for i in self.at}
+        self.body = {i: is_body(self.x[i]) for i in self.at}
+        self.who = {i: speaker(self.x[i]) for i in self.at}
+
+    def titled(self, i: int) -> bool:
+        return bool(self.name) and self.keys[i].lstrip("*•-– ") == self.name
+
+    def tokens(self, i: int) -> tuple[int, ...]:
+        """The line, and how it begins and ends where it is short and has no mark of a list, caption or quotation."""
+        line, edges = _tokens(self.keys[i])
+        return (line,) if self.body[i] or _MARK.match(self.x[i]) or self.titled(i) else (line, *edges)
+
+    def roles(self, wide: dict[int, int], template: set[int], edges: bool = True) -> dict[int, int]:
+        """What the lines of the template are for; with ``edges``, also of lines that only begin or end as those of sites do."""
+        out = {}
+        for i in self.at:
+            if self.titled(i):
+                continue
+            line, *ends = self.tokens(i)
+            if role := wide.get(line, 0) or (DROP if i in template or edges and any(e in wide for e in ends) else 0):
+                out[i] = role
+        return out
+
+
+def tokens_of(pages: DataFrame) -> DataFrame:
+    """page_id, h (host), i, k (token), m (a bit of the page's article), line, named, titles, short, spoken: a row per token of a page.
+
+    A token counts once a page; rows of titles (titles = 1) are no places of it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page, host, title, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if not content or not content.strip():
+                    continue
+                p, h = Page(host, title, content), _hash(host or "")
+                article = max((p.x[i] for i in p.at), key=len)
+                m = 1 << (_hash(article) % 63)
+                if p.name:
+                    rows += [(page, h, -1, k, 0, False, False, 1, 0, 0) for k in _edges(p.name)]
+                seen = set()
+                for j, i in enumerate(p.at):
+                    after = p.at[j + 1] if j + 1 < len(p.at) else None
+                    before = p.at[j - 1] if j else None
+                    short = after is not None and not p.body[after] and not p.who[after]
+                    spoken = (after is not None and bool(p.who[after])) + 2 * (before is not None and bool(p.who[before]))
+                    for n, k in enumerate(p.tokens(i)):
+                        if k not in seen:
+                            seen.add(k)
+                            rows.append((page, h, i, k, m, n == 0, p.titled(i), 0, int(short), spoken))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "h", "i", "k", "m", "line", "named", "titles", "short", "spoken"])
+
+    shape = "page_id bigint, h bigint, i int, k bigint, m bigint, line boolean, named boolean, titles int, short int, spoken int"
+    return pages.select(F.col("page_id").cast("bigint"), "host", "title", "content").mapInArrow(run, shape)
+
+
+def by_host(tokens: DataFrame) -> DataFrame:
+    """h, k and what its places on the host come to; v: the occurrence vector, as the sum of hashes of its pages."""
+    there = F.col("titles") == 0
+    return tokens.groupBy("h", "k").agg(
+        F.sum(there.cast("long")).alias("n"), F.bit_or("m").alias("m"), F.max("line").alias("line"), F.sum(F.col("named").cast("long")).alias("named"),
+        F.sum("titles").alias("titles"), F.sum("short").alias("short"), F.sum(F.col("spoken").bitwiseAND(1)).alias("next"), F.sum(F.shiftright("spoken", 1)).alias("last"),
+        F.sum(F.when(there, F.xxhash64("page_id") % 1_000_000_007).otherwise(0)).alias("v"),
+    )
+
+
+def wide_tokens(own: DataFrame, hosts: int) -> dict[int, int]:
+    """The tokens of sites at large and their roles.
+
+    At most (tokens of a host, on average) / WIDE_SHARE, whatever the number of hosts.
+    """
+    least = max(WIDE_HOSTS, WIDE_SHARE * hosts)
+    sums = [F.sum(c).alias(c) for c in ("n", "named", "titles", "short", "next", "last")]
+    at = own.groupBy("k").agg(F.count_if(F.col("n") > 0).alias("hosts"), F.bit_or("m").alias("m"), F.max("line").alias("line"), *sums)
+    good = (F.col("hosts") >= least) & (F.bit_count("m") >= WIDE_HOSTS) & (F.col("named") < TITLED * F.col("n")) & (F.col("titles") < TITLED * F.col("n"))
+    role = F.when(F.col("line") & (F.greatest("next", "last") >= TALKS * F.col("n")), TALK).when(F.col("line") & (F.col("short") >= HEADS * F.col("n")), MORE).otherwise(DROP)
+    got = at.where(good).select("k", role.alias("role")).toArrow()
+    return dict(zip(got["k"].to_pylist(), got["role"].to_pylist()))
+
+
+def host_template(tokens: DataFrame, own: DataFrame) -> DataFrame:
+    """page_id, template (numbers of its lines that are in valid classes of its host)."""
+    lines = tokens.where("line").select("page_id", "h", "i", "k")
+    pages = lines.groupBy("h").agg(F.count_distinct("page_id").alias("pages"))
+    likely = own.where("line").where(F.col("named") < TITLED * F.col("n")).where(F.bit_count("m") >= HOST_ARTICLES).join(pages, "h").where(F.col("n") >= HOST_SHARE * F.col("pages"))
+    likely = likely.select("h", "k", "n", "pages", F.xxhash64("h", "v", "n").alias("class"))
+    classes = likely.groupBy("h", "class").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.first("pages").alias("pages"))
+    root = classes.groupBy("h").agg(F.max_by("class", F.struct("n", "size", "class")).alias("root"))
+    at = cut(lines.join(likely.select("h", "k", "class"), ["h", "k"]).join(root, "h").select("page_id", "i", "k", "class", "root").distinct())
+
+    def look(batches):
+        """class, order (of its lines on a page), slot (lines of the root before its first one)."""
+        for batch in batches:
+            out = []
+            for places in batch.column(0).to_pylist():
+                before, orders, slots = 0, {}, {}
+                for p in places:
+                    c = p["class"]
+                    slots.setdefault(c, before)
+                    orders.setdefault(c, []).append(p["k"])
+                    before += c == p["root"]
+                out += [(c, xxhash.xxh3_64_intdigest(repr(ks)) >> 1, slots[c]) for c, ks in orders.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], names=["class", "order", "slot"])
+
+    seen = at.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "k", "class", "root"))).alias("places")).select("places").mapInArrow(look, "class bigint, order bigint, slot bigint")
+    kept = seen.groupBy("class").agg((F.min("order") == F.max("order")).alias("ordered"), (F.min("slot") == F.max("slot")).alias("nested"))
+    valid = classes.join(kept, "class").join(root, "h").where(F.col("ordered") & ((F.col("class") == F.col("root")) | F.col("nested") | (F.col("n") >= FREE_SHARE * F.col("pages"))))
+    return at.join(valid.select("class"), "class", "left_semi").groupBy("page_id").agg(F.collect_set("i").alias("template"))
+
+
+def deduced(pages: DataFrame) -> tuple[DataFrame, dict[int, int], int]:
+    """(page_id, host, title, content, template of every page with content), tokens of sites at large, number of hosts."""
+    pages = pages.where("page_id is not null and content is not null").select(F.col("page_id").cast("bigint"), "host", "title", "content")
+    tokens = cut(tokens_of(pages))
+    own = cut(by_host(tokens))
+    hosts = own.select("h").distinct().count()
+    return pages.join(host_template(tokens, own), "page_id", "left"), wide_tokens(own, hosts), hosts
+
+
+def kept(p: Page, roles: dict[int, int]) -> list[int]:
     """The numbers of the lines of the page's article; none where there is no article."""
-    x = [s.strip() for s in lines]
-    n = len(x)
-    drop = [not s or i in template or len(s) < 220 and (is_nav(s) or is_notice(s)) for i, s in enumerate(x)]
-    name = (title or "").strip()
-    prose = [i for i in range(n) if not drop[i] and is_body(x[i])]
+    x, n = p.x, len(p.x)
+    gone = [not s or roles.get(i) == DROP for i, s in enumerate(x)]
+    prose = [i for i in p.at if i not in roles and p.body[i]]
     first = prose[0] if prose else n
     at = -1
-    if name:
-        spots = [i for i in range(n) if x[i] == name]
+    if p.title:
+        spots = [i for i in p.at if x[i] == p.title]
         before = [i for i in spots if i < first]
         at = before[-1] if before else spots[0] if spots else -1
     if at < 0 and prose:
         k = first - 1
-        while k >= 0 and drop[k]:
+        while k >= 0 and (gone[k] or k in roles):
             k -= 1
-        at = k if k >= 0 and not _ITEM.match(x[k]) and not _END.search(x[k]) and not _MORE.match(x[k].lower()) else first
+        at = k if k >= 0 and not _ITEM.match(x[k]) and not _END.search(x[k]) else first
     if at < 0:
         return []
-    out, more, comments = [at], False, False
-    speakers = [(m.group(1).strip() if (":" in s[:48] or "：" in s[:48]) and (m := _SPEAKER.match(s)) and _is_name(m.group(1)) else None) for s in x]
-    said = Counter(s for s in speakers if s)
-    replied = {i for i in range(n) if x[i] and _REPLY.match(x[i])}
-    for i in range(at + 1, n):
+    out, more, remarks = [at], False, False
+    said = Counter(w[0] for w in p.who.values() if w)
+    talk = {i for i, r in roles.items() if r == TALK}
+    for i in p.at:
         s = x[i]
-        if not s:
-            continue
-        low = s.lower()
-        if _COMMENTS.match(low) and len(s) < 30:
-            comments, more = True, False
-            continue
-        if _MORE.match(low) and len(s) < 60:
-            more, comments = True, False
+        if i <= at:
             continue
-        if drop[i]:
+        if roles.get(i) in (TALK, MORE):
+            remarks, more = i in talk, i not in talk
             continue
-        if s.endswith("…") or s.endswith("...") and not is_body(s[:-2]):
+        if gone[i] or s.endswith("…") or s.endswith("...") and not is_body(s[:-2]):
             continue
-        if speakers[i] and not _ITEM.match(s):
-            near = any(j in replied for j in range(i - 2, i + 3))
-            alone = said[speakers[i]] < 2
-            if near or comments or alone and _remark(x, speakers, i):
+        if p.who[i]:
+            name, saying, ago = p.who[i]
+            near = ago or any(j in talk for j in range(i - 2, i + 3))
+            others = not saying and said[name] < 2 and any(p.who.get(j) and p.who[j][0] != name for j in (i - 1, i + 1))
+            if near or remarks or others:
                 continue
-        elif comments and not is_body(s):
+        elif remarks and not p.body[i]:
             continue
-        if more and not is_body(s) and not s.startswith(("[", "“", "「", "«", "„")):
+        if more and not p.body[i] and not s.startswith(("[", "“", "「", "«", "„")):
             continue
         more = False
         out.append(i)
-    body = [i for i in out if is_body(x[i])]
+    body = [i for i in out if p.body[i]]
     if not body:
         return []
-    last = body[-1]
-    tail = [i for i in out if i > last]
-    solid = [i for i in tail if _ITEM.match(x[i]) or x[i].startswith("[") or re.search(r"[:：] ?[\d.,]+|\|", x[i])]
-    stop = solid[-1] if solid else last
-    return [i for i in out if i <= stop]
-
-
-#: Openings that stand before a colon like a name.
-_OPENINGS = frozenset("además aún nota note besides hinweis fazit übrigens además enfin bref внимание итак кстати aliás".split())
-
+    # After the last paragraph, only items, references and rows of values are the article's.
+    last = max([body[-1], *(i for i in out if i > body[-1] and (_ITEM.match(x[i]) or x[i].startswith("[") or _VALUE.search(x[i])))])
+    return [i for i in out if i <= last]
 
-def _is_name(s: str) -> bool:
-    words = s.split()
-    return len(words) <= 3 and all(not w[0].islower() for w in words) and s.strip().lower() not in _OPENINGS and not any(c.isdigit() for c in s)
 
+# Pages without sentences ---------------------------------------------------------
 
-def _remark(x: list[str], speakers: list, i: int) -> bool:
-    """Whether a line with a speaker stands among lines of other speakers: remarks of readers."""
-    for j in (i - 1, i + 1):
-        if 0 <= j < len(x) and speakers[j] and speakers[j] != speakers[i]:
-            return True
-    return bool(re.search(r" says: | says ?$|first! great|nothing like that|rien à voir|nada que ver|gar nicht so|有人知道", x[i]))
+_TERMS = re.compile(r"[^\W_]{2,}")
 
 
-def _site(host: str | None) -> str:
-    return (host or "").lower().removeprefix("www.").split(".")[0]
+def words(s: str) -> list[str]:
+    """The words of a line; of a script without blanks, every two signs that follow one another."""
+    out = []
+    for x in _TERMS.findall(s.lower()):
+        out += [x[i : i + 2] for i in range(max(1, len(x) - 1))] if _EAST.match(x) else [x]
+    return out
 
 
-def template_lines(pages: DataFrame) -> DataFrame:
-    """page_id, template (numbers of the lines): what occurs on pages of other articles of the host, or on many hosts.
+def phrases(w: list[str]) -> list[int]:
+    """Hashes of the pairs of words that follow one another; a word by itself is a phrase."""
+    return [_hash(f"{a} {b}") for a, b in zip(w, w[1:])] or [_hash(x) for x in w]
 
-    The occurrence vector of a line is held as the sum of hashes of its pages:
-    lines of equal sum and count are one class.
-    """
 
-    def explode(batches):
-        for batch in batches:
-            ids, hosts, lines, keys, titles = [], [], [], [], []
-            for page, host, title, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if not content:
-                    continue
-                site, h = _site(host), xxhash.xxh3_64_intdigest(host or "") >> 1
-                name = masked(title, site) if title else ""
-                seen = set()
-                for i, line in enumerate(content.split("\n")):
-                    if line.strip() and len(line) <= 200:
-                        key = masked(line, site)
-                        if key in seen:
-                            continue
-                        seen.add(key)
-                        ids.append(page)
-                        hosts.append(h)
-                        lines.append(i)
-                        keys.append(xxhash.xxh3_64_intdigest(key) >> 1)
-                        titles.append(key == name or key.lstrip("*•-– ") == name)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64()), pa.array(titles, pa.bool_())], names=["page_id", "h", "i", "k", "t"])
-
-    rows = cut(pages.select("page_id", "host", "title", "content").mapInArrow(explode, "page_id bigint, h bigint, i int, k bigint, t boolean"))
-    own = rows.groupBy("h", "k").agg(F.count("*").alias("pages"), F.max("t").alias("t"), F.sum(F.xxhash64("page_id") % 1_000_003).alias("vector"))
-    host = own.where((F.col("pages") >= HOST_PAGES) & ~F.col("t")).select("h", "k")
-    wide = own.groupBy("k").agg(F.count("*").alias("hosts"), F.max("t").alias("t")).where((F.col("hosts") >= SHARED_HOSTS) & ~F.col("t")).select("k")
-    # A line held by its host's template or by that of sites at large.
-    named = own.select("h", "k").join(wide, "k", "left_semi").unionByName(host).distinct()
-    return rows.join(named, ["h", "k"], "left_semi").groupBy("page_id").agg(F.collect_list("i").alias("template"))
-
-
-def _flagged(pages: DataFrame) -> DataFrame:
-    """page_id, host, title, content, template of every page with content, once."""
-    pages = pages.where("page_id is not null and content is not null and content <> ''").select(F.col("page_id").cast("bigint"), "host", "title", "content").dropDuplicates(["page_id"])
-    return pages.join(template_lines(pages), "page_id", "left")
-
-
-def _own(lines: list[str], template: set[int], title: str | None) -> list[str]:
-    """What a page holds besides its template, notices and teasers."""
-    out, more = [], False
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s or s == (title or "").strip():
-            continue
-        if _MORE.match(s.lower()) and len(s) < 60:
-            more = True
-            continue
-        if i in template or len(s) < 220 and (is_nav(s) or is_notice(s)) or s.endswith("…"):
-            continue
-        if more and not _END.search(s) and not _LINK.search(s) and sum(c.isdigit() for c in s) < 2 and len(s.split()) < 12 and len(out) == 0:
+def own_lines(p: Page, roles: dict[int, int]) -> list[int]:
+    """What a page holds besides its template, its headline and short lists to other stories."""
+    out, run, more = [], [], False
+    for i in [*p.at, None]:
+        plain = i is not None and i not in roles and p.x[i] != p.title
+        if plain and more and not p.body[i] and not _LINK.search(p.x[i]):
+            run.append(i)
             continue
-        more = False
-        out.append(s)
+        if len(run) > TEASERS:
+            out += run  # no list to other stories is so long
+        run = []
+        if plain and not p.x[i].endswith("…"):
+            out.append(i)
+        more = i is not None and roles.get(i) == MORE
     return out
 
 
-_TERMS = re.compile(r"[^\W\d_]{2,}")
+@lru_cache(8192)
+def is_loose(s: str) -> bool:
+    """Whether a line is no sentence: too short or without an end, or a long one that strings or repeats words."""
+    if not is_prose(s):
+        return True
+    w = _TERMS.findall(s.lower())
+    if s.isascii() or s.count(" ") * 12 > len(s):
+        pairs = list(zip(w, w[1:]))
+        return len(w) >= 24 and (len(set(pairs)) < 0.6 * len(pairs) or len(set(w)) < 0.35 * len(w))
+    g = [s[i : i + 3] for i in range(len(s) - 2)]
+    return len(s) >= 60 and bool(_EAST.search(s)) and len(set(g)) < 0.6 * len(g)
 
 
-def _phrases(s: str) -> list[str]:
-    w = _TERMS.findall(s.lower())
-    if w and len(w[0]) > 3 and ord(w[0][0]) > 0x2E80:
-        return [x[i : i + 3] for x in w for i in range(max(1, len(x) - 2))]
-    return [f"{a} {b}" for a, b in zip(w, w[1:])] or w
-
-
-def evidence(lines: list[str], marks: list[bool]) -> tuple[float, float, float, int]:
-    """Of a page's own lines: share of text outside of sentences, of link lines, of the commonest term, and lines outside."""
-    whole = sum(len(s.encode()) for s in lines) or 1
-    flat = [s for s, stuffed in zip(lines, marks) if stuffed or not is_prose(s)]
-    loose = sum(len(s.encode()) for s in flat)
-    links = sum(1 for s in flat if _LINK.search(s))
-    terms = Counter(t for s in flat for t in set(_TERMS.findall(s.lower()) if s.isascii() or not re.search("[぀-鿿]", s) else [s[i : i + 2] for i in range(len(s) - 1)]))
-    top = terms.most_common(1)[0][1] if terms else 0
-    return loose / whole, links / max(1, len(flat)), top / max(1, len(flat)), len(flat)
+def _own(row: tuple, wide: dict[int, int]) -> tuple[Page, list[str]]:
+    host, title, content, template = row
+    p = Page(host, title, content)
+    return p, [p.x[i] for i in own_lines(p, p.roles(wide, set(template or ()), False))]
 
 
-_STOP = re.compile(r"[.!?。！？؟।…](?:\s|[”\"’»」』)）]|$)|[。！？]")
-_APART = re.compile(r"[,，、;；#|•]")
+def replicated(pages: DataFrame, wide, hosts: int) -> np.ndarray:
+    """Bits of the phrases that are, outside of sentences, on a share of the hosts: a table of fixed size.
 
+    What is collected are at most (phrases of a host, on average) / SPREAD_SHARE places of it.
+    """
+    size = 1 << TABLE_BITS
 
-@lru_cache(8192)
-def _stuffed(s: str) -> bool:
-    """Whether a long line repeats a few words, or strings them together without a sentence."""
-    if len(s) < 60:
-        return False
-    if not _STOP.search(s) and (len(s) >= 100 and 16 * s.count(" ") > len(s) or 12 * len(_APART.findall(s)) > len(s)):
-        return True  # words or phrases one after the other, and no sentence ends
-    if s.isascii() or s.count(" ") * 12 > len(s):
-        w = s.lower().split()
-        if len(w) < 24 or len(set(w)) > 0.62 * len(w):
-            return False
-        w = _TERMS.findall(s.lower())
-        pairs = list(zip(w, w[1:]))
-        return bool(w) and (len(set(pairs)) < 0.6 * len(pairs) or len(set(w)) < 0.35 * len(w))
-    if len(set(s)) > 0.45 * len(s) or not re.search("[぀-鿿]", s):
-        return False
-    g = [s[i : i + 3] for i in range(len(s) - 2)]
-    return len(set(g)) < 0.6 * len(g)
+    def run(batches):
+        tokens = wide.value
+        for batch in batches:
+            seen = set()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[2].strip():
+                    h = _hash(row[0] or "")
+                    for s in _own(row, tokens)[1]:
+                        if is_loose(s):
+                            seen.update((g, h) for g in phrases(words(s)))
+            g, h = zip(*seen) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(h, pa.int64())], names=["g", "h"])
+
+    spread = pages.select("host", "title", "content", "template").mapInArrow(run, "g bigint, h bigint").distinct().groupBy("g").count()
+    many = spread.where(F.col("count") >= max(SPREAD_HOSTS, SPREAD_SHARE * hosts)).select(F.col("g").bitwiseAND(F.lit(size - 1)).cast("int").alias("at"))
+    bits = np.zeros(size, bool)
+    bits[many.toArrow()["at"].to_numpy()] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def evidence(lines: list[str], bits: np.ndarray) -> tuple[float, float, float, float, int, int]:
+    """Shares of a page's own text: outside of sentences; of that, words in replicated phrases, lines that are links, lines that have the commonest word; lines outside; bytes."""
+    whole, outside, copied, links = 0, 0, 0.0, 0
+    terms, n = Counter(), 0
+    for s in lines:
+        size = len(s.encode())
+        whole += size
+        if not is_loose(s):
+            continue
+        n += 1
+        outside += size
+        links += bool(_LINK.search(s))
+        w = words(s)
+        terms.update(set(w))
+        if w:
+            g = np.array(phrases(w), np.int64) & ((1 << TABLE_BITS) - 1)
+            hit = (bits[g >> 3] >> (g & 7).astype(np.uint8)) & 1 > 0
+            covered = np.zeros(len(w), bool)
+            covered[: len(hit)] = hit
+            if len(w) > 1:
+                covered[1:] |= hit
+            copied += size * covered.mean()
+    top = terms.most_common(1)[0][1] if terms else 0
+    return outside / max(1, whole), copied / max(1, outside), links / max(1, n), top / max(1, n), n, whole
 
 
-def spam(flagged: DataFrame, least_lines: int = 5, outside: float = 0.55) -> DataFrame:
-    """page_id of the pages whose own content is mostly no sentences, and is links, repetition or replicated phrases."""
+def is_spam(lines: list[str], bits: np.ndarray) -> bool:
+    outside, copied, links, top, n, size = evidence(lines, bits)
+    return outside >= OUTSIDE and (n >= LEAST_LINES or size >= LEAST_BYTES) and (copied >= COPIED or links >= LINKED or top >= REPEATED)
 
-    def look(batches):
+
+def _judged(pages: DataFrame, rows_of, names: list[str], shape: str) -> DataFrame:
+    """What ``rows_of`` (page_id, Page, template, wide tokens, whether it is spam) gives for every page; rows that come twice count once."""
+    found, wide, hosts = deduced(pages)
+    found = cut(found)
+    sc = found.sparkSession.sparkContext
+    tokens = sc.broadcast(wide)
+    bits = sc.broadcast(replicated(found, tokens, hosts))
+
+    def run(batches):
         for batch in batches:
-            ids, hosts, sure, phrase, at = [], [], [], [], []
-            for page, host, title, content, template in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = _own(content.split("\n"), set(template or ()), title)
-                marks = [_stuffed(s) for s in lines]
-                stuffed = any(marks) and sum(len(s) for s, m in zip(lines, marks) if m) > 0.5 * sum(map(len, lines))
-                if not stuffed and sum(not is_prose(s) for s in lines) < least_lines:
-                    continue
-                loose, links, top, n = evidence(lines, marks)
-                if not stuffed and (loose < outside or n < least_lines):
-                    continue
-                grams = {xxhash.xxh3_64_intdigest(p) >> 1 for s in lines if not is_prose(s) for p in _phrases(s)}
-                h = xxhash.xxh3_64_intdigest(host or "") >> 1
-                certain = stuffed or links >= 0.4 or top >= 0.6
-                for g in grams or {0}:
-                    ids.append(page)
-                    hosts.append(h)
-                    sure.append(certain)
-                    phrase.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(sure, pa.bool_()), pa.array(phrase, pa.int64())], names=["page_id", "h", "sure", "g"])
-
-    rows = cut(flagged.select("page_id", "host", "title", "content", "template").mapInArrow(look, "page_id bigint, h bigint, sure boolean, g bigint"))
-    spread = rows.groupBy("g", "h").count().groupBy("g").agg(F.count("*").alias("hosts"))
-    scored = rows.join(spread, "g").groupBy("page_id").agg(F.max("sure").alias("sure"), F.avg((F.col("hosts") >= 2).cast("double")).alias("copied"))
-    return scored.where(F.col("sure") | (F.col("copied") >= 0.4)).select("page_id")
+            rows = []
+            for page, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[2].strip():
+                    p, lines = _own(row, tokens.value)
+                    rows += rows_of(page, p, row[3], tokens.value, is_spam(lines, bits.value))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if x == "page_id" else pa.int32()) for c, x in zip(columns, names)], names=names)
+
+    return found.select("page_id", "host", "title", "content", "template").mapInArrow(run, shape).distinct()
 
 
 def articles(pages: DataFrame) -> DataFrame:
-    """page_id, line_no of every line of every article. Null and empty contents, spam and notices have none."""
-    flagged = cut(_flagged(pages))
-    clean = flagged.join(spam(flagged), "page_id", "left_anti")
+    """page_id, line_no of every line of every article. Null, empty and blank contents, spam and notices have none."""
 
-    def run(batches):
-        for batch in batches:
-            ids, numbers = [], []
-            for page, title, content, template in zip(*(c.to_pylist() for c in batch.columns)):
-                got = kept(content.split("\n"), title, set(template or ()))
-                ids += [page] * len(got)
-                numbers += got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
+    def rows(page, p, template, wide, spam):
+        return [] if spam else [(page, i) for i in kept(p, p.roles(wide, set(template or ())))]
 
-    return clean.select("page_id", "title", "content", "template").mapInArrow(run, "page_id bigint, line_no int")
+    return _judged(pages, rows, ["page_id", "line_no"], "page_id bigint, line_no int")
 
 
 def spam_pages(pages: DataFrame) -> DataFrame:
     """page_id of the pages of repeated keywords, lists of links or titles, product rows or tags."""
-    return spam(cut(_flagged(pages)))
+    return _judged(pages, lambda page, p, template, wide, spam: [(page,)] if spam else [], ["page_id"], "page_id bigint")
