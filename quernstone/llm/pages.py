@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ FREE_SHARE = 0.05
 #: Share of all hosts, and hosts at least, a token of sites at large is on.
 WIDE_SHARE, WIDE_HOSTS = 0.0015, 6
 #: Pages whose title begins or ends so, for each line that does, make a token a title's.
-TITLED = 0.02
+TITLE_SHARE = 0.02
 #: Share of a token's places followed by a short line, from which it heads a list; with a speaker around, from which it marks remarks.
 HEADS, TALKS = 0.95, 0.3
 #: Roles of tokens.
@@ -66,28 +65,50 @@ _MARK = re.compile(r"^(?:[-*•–»\[“„«「『\"]|\d+[.)])")
 _EAST = re.compile("[぀-ヿ㐀-鿿]")
 _HEAD = re.compile(r"[^:：|｜·–—\d#]{1,24}[:：|｜·–—]")
 _VALUE = re.compile(r"[:：] ?[\d.,]+|\|")
+_TERMS = re.compile(r"[^\W_]{2,}")
+
+
+# Lines as numbers -----------------------------------------------------------------
+
+BODY, TITLED, TITLE, LOOSE, LINK, ITEM, END, CUT, BRACKET, QUOTE, VALUE, SAYING, AGO = (1 << i for i in range(13))
+_DIGITS = re.compile(r"\d+")
+_FEATURES = "page_id bigint, h bigint, m bigint, name array<bigint>, line array<int>, flags array<int>, size array<int>, who array<int>, token array<bigint>, edges array<bigint>, n_words array<int>, words array<int>"
 
 
-@lru_cache(50_000)
 def masked(line: str, site: str) -> str:
     """The line without the site's name and numbers, in lower case."""
-    low = line.strip().lower()
-    if site:
+    low = line.lower()
+    if site and site in low:
         low = low.replace(site, "@")
-    return re.sub(r"\d+", "#", low)
+    return _DIGITS.sub("#", low)
 
 
-@lru_cache(8192)
-def is_prose(line: str) -> bool:
-    """Whether the line ends as a sentence and is long enough to be one."""
-    x = line.strip()
-    return bool(_END.search(x[-12:])) and (len(x) >= 45 or len(x.encode()) >= 45) and not _LINK.search(x[:12])
+def is_prose(x: str) -> bool:
+    """Whether a line ends as a sentence and is long enough to be one."""
+    return (len(x) >= 45 or len(x) >= 15 and len(x.encode()) >= 45) and bool(_END.search(x[-12:])) and not _LINK.search(x[:12])
 
 
-@lru_cache(8192)
-def is_body(line: str) -> bool:
+def is_body(x: str) -> bool:
     """Prose, or a line as long as a paragraph, whose end may be garbled."""
-    return is_prose(line) or len(line) >= 150 and not _LINK.search(line)
+    return is_prose(x) or len(x) >= 150 and not _LINK.search(x)
+
+
+def is_loose(s: str, prose: bool) -> bool:
+    """Whether a line is no sentence: too short or without an end, or a long one that strings or repeats words."""
+    if not prose:
+        return True
+    if s.isascii() or s.count(" ") * 12 > len(s):
+        if len(s) < 60:
+            return False
+        w = s.lower().split()
+        if len(w) < 24 or len(set(w)) > 0.62 * len(w):
+            return False
+        pairs = set(zip(w, w[1:]))
+        return len(pairs) < 0.6 * (len(w) - 1) or len(set(w)) < 0.35 * len(w)
+    if len(s) < 60 or len(set(s)) > 0.45 * len(s) or not _EAST.search(s):
+        return False
+    g = [s[i : i + 3] for i in range(len(s) - 2)]
+    return len(set(g)) < 0.6 * len(g)
 
 
 def speaker(s: str) -> tuple[str, bool, bool] | None:
@@ -95,9 +116,12 @@ def speaker(s: str) -> tuple[str, bool, bool] | None:
 
     A name of at most three words, then at most four small ones, then a colon.
     """
-    if ":" not in s[:48] and "：" not in s[:48] or _ITEM.match(s):
+    head = s[:48]
+    if (at := head.find(":")) < 0 and (at := head.find("：")) < 0 or _ITEM.match(s):
         return None
-    said = re.split("[:：]", s[:48], maxsplit=1)[0].strip()
+    if 0 <= (wide := head.find("：")) < at:
+        at = wide
+    said = head[:at].strip()
     words = said.split()
     names = next((n for n, w in enumerate(words) if w[0].islower() or w[0].isdigit()), len(words))
     after = words[names:]
@@ -127,44 +151,158 @@ def _edges(key: str) -> tuple[int, int, int]:
     return _hash("H" + head), _hash("T" + tail), _hash("1" + (key.split() or [""])[0])
 
 
-@lru_cache(20_000)
-def _tokens(key: str) -> tuple[int, tuple[int, int, int]]:
-    return _hash("L" + key), _edges(key)
-
+def words(s: str) -> list[int]:
+    """Hashes of the words of a line; of a script without blanks, of every two signs that follow one another."""
+    out = []
+    for x in _TERMS.findall(s.lower()):
+        out += [x[i : i + 2] for i in range(max(1, len(x) - 1))] if _EAST.match(x) else [x]
+    return [xxhash.xxh32_intdigest(x) >> 1 for x in out]
 
-class Page:
-    """The lines of a page and their tokens."""
 
-    def __init__(self, host: str | None, title: str | None, content: str):
-        self.site, self.title = _site(host), (title or "").strip()
-        self.x = [s.strip() for s in content.split("\n")]
-        self.at = [i for i, s in enumerate(self.x) if s]
-        self.name = masked(self.title, self.site) if self.title else ""
-        self.keys = {i: masked(self.x[i], self.site) for i in self.at}
-        self.body = {i: is_body(self.x[i]) for i in self.at}
-        self.who = {i: speaker(self.x[i]) for i in self.at}
+def features(pages: DataFrame) -> DataFrame:
+    """What the lines of each page are, as numbers; nothing after this reads the texts.
 
-    def titled(self, i: int) -> bool:
-        return bool(self.name) and self.keys[i].lstrip("*•-– ") == self.name
+    name: tokens of the title; line: numbers of the lines that are not blank;
+    flags, size in bytes; who: hash of the speaker; token: of the whole line;
+    edges: three a line, 0 where it has none; words: of the lines outside of sentences.
+    """
 
-    def tokens(self, i: int) -> tuple[int, ...]:
-        """The line, and how it begins and ends where it is short and has no mark of a list, caption or quotation."""
-        line, edges = _tokens(self.keys[i])
-        return (line,) if self.body[i] or _MARK.match(self.x[i]) or self.titled(i) else (line, *edges)
+    def run(batches):
+        for batch in batches:
+            ids, hosts, articles, names, name_n = [], [], [], [], []
+            number, flags, size, who, token, edges, n_words, terms, lines_n, terms_n = ([] for _ in range(10))
+            for page, host, title, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if not content or not content.strip():
+                    continue
+                site, title = _site(host), (title or "").strip()
+                name = masked(title, site) if title else None
+                longest, lines, held = "", 0, len(terms)
+                for i, s in enumerate(content.split("\n")):
+                    s = s.strip()
+                    if not s:
+                        continue
+                    lines += 1
+                    if len(s) > len(longest):
+                        longest = s
+                    key = masked(s, site)
+                    prose = is_prose(s)
+                    body = prose or len(s) >= 150 and not _LINK.search(s)
+                    f = BODY if body else 0
+                    if name and key.lstrip("*•-– ") == name:
+                        f |= TITLED | (TITLE if s == title else 0)
+                    if body:
+                        mark = False
+                    else:
+                        mark = bool(_MARK.match(s))
+                    if is_loose(s, prose):
+                        w = words(s)
+                        f |= LOOSE | (LINK if _LINK.search(s) else 0)
+                        terms += w
+                        n_words.append(len(w))
+                    else:
+                        n_words.append(0)
+                    f |= (ITEM if _ITEM.match(s) else 0) | (END if _END.search(s[-12:]) else 0) | (BRACKET if s[0] == "[" else 0) | (QUOTE if s[0] in "“「«„" else 0)
+                    if s[-1] == "…" or s.endswith("...") and not is_body(s[:-2]):
+                        f |= CUT
+                    if not body and _VALUE.search(s):
+                        f |= VALUE
+                    speaks = speaker(s)
+                    if speaks:
+                        f |= (SAYING if speaks[1] else 0) | (AGO if speaks[2] else 0)
+                    number.append(i)
+                    flags.append(f)
+                    size.append(len(s.encode()))
+                    who.append((xxhash.xxh32_intdigest(speaks[0]) >> 1) | 1 if speaks else 0)
+                    token.append(_hash("L" + key))
+                    edges += (0, 0, 0) if body or mark or f & TITLED else _edges(key)
+                ids.append(page)
+                hosts.append(_hash(host or ""))
+                articles.append(1 << (_hash(longest) % 63))
+                lines_n.append(lines)
+                terms_n.append(len(terms) - held)
+                names += _edges(name) if name else ()
+                name_n.append(3 if name else 0)
+
+            def lists(values, counts, kind):
+                return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
+
+            long, short = pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, long) for x in (ids, hosts, articles)] + [lists(names, name_n, long)] + [lists(x, lines_n, short) for x in (number, flags, size, who)]
+                + [lists(token, lines_n, long), lists(edges, [3 * x for x in lines_n], long), lists(n_words, lines_n, short), lists(terms, terms_n, short)],
+                names=["page_id", "h", "m", "name", "line", "flags", "size", "who", "token", "edges", "n_words", "words"],
+            )
+
+    return pages.select(F.col("page_id").cast("bigint"), "host", "title", "content").mapInArrow(run, _FEATURES)
+
+
+class _Batch:
+    """The pages of a batch, line by line: ``page`` is the place of each line's page."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        self.pages = batch.num_rows
+        self.line = self.flat("line")
+        self.start = self.offsets("line")
+        self.page = np.repeat(np.arange(self.pages), np.diff(self.start))
+        self.flags = self.flat("flags")
+
+    def flat(self, name: str) -> np.ndarray:
+        return self.c[name].flatten().to_numpy(zero_copy_only=False)
+
+    def offsets(self, name: str) -> np.ndarray:
+        at = self.c[name].offsets.to_numpy()
+        return at - at[0]
+
+    def roles(self, wide: tuple[np.ndarray, np.ndarray], edges: bool) -> np.ndarray:
+        """What the lines of the template are for, 0 where they are not of it; with ``edges``, also of lines that only begin or end as those of sites do."""
+        keys, roles = wide
+
+        def find(k):
+            if not len(keys):
+                return np.zeros(len(k), np.int8)
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            return np.where(keys[at] == k, roles[at], 0)
+
+        out = find(self.flat("token"))
+        counts = np.diff(self.offsets("template")) if len(self.c["template"]) else np.empty(0, np.int64)
+        own = np.repeat(np.arange(self.pages), counts).astype(np.int64) << 32 | self.flat("template").astype(np.int64)
+        out[(out == 0) & np.isin(self.page.astype(np.int64) << 32 | self.line, own)] = DROP
+        if edges and len(self.line):
+            out[(out == 0) & (find(self.flat("edges")).reshape(-1, 3) > 0).any(axis=1)] = DROP
+        out[self.flags & TITLED > 0] = 0
+        return out
 
-    def roles(self, wide: dict[int, int], template: set[int], edges: bool = True) -> dict[int, int]:
-        """What the lines of the template are for; with ``edges``, also of lines that only begin or end as those of sites do."""
-        out = {}
-        for i in self.at:
-            if self.titled(i):
-                continue
-            line, *ends = self.tokens(i)
-            if role := wide.get(line, 0) or (DROP if i in template or edges and any(e in wide for e in ends) else 0):
-                out[i] = role
+    def own(self, roles: np.ndarray) -> np.ndarray:
+        """Which lines a page holds besides its template, its headline and short lists to other stories."""
+        plain = (roles == 0) & (self.flags & TITLE == 0)
+        out = plain & (self.flags & CUT == 0)
+        short = plain & (self.flags & (BODY | LINK) == 0)
+        for at in np.flatnonzero(roles == MORE).tolist():
+            end, last = at + 1, self.start[self.page[at] + 1]
+            while end < last and short[end]:
+                end += 1
+            if end - at - 1 <= TEASERS:  # no list to other stories is longer
+                out[at + 1 : end] = False
         return out
 
 
-def tokens_of(pages: DataFrame) -> DataFrame:
+def _phrases(b: _Batch, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word) of each word of the chosen lines, and (phrase, whether the line goes on) of the pair it begins.
+
+    Phrases are pairs of words that follow one another; a word by itself is one.
+    """
+    n = b.flat("n_words").astype(np.int64)
+    line = np.repeat(np.arange(len(n)), n)
+    keep = chosen[line]
+    line, w = line[keep], b.flat("words").astype(np.uint64)[keep]
+    inside = np.r_[line[1:] == line[:-1], False] if len(line) else np.empty(0, bool)
+    after = np.where(inside, np.r_[w[1:], w[:1]], np.uint64(0)) if len(line) else w
+    g = (w * np.uint64(0x9E3779B97F4A7C15) ^ (after + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1)
+    return line, w.astype(np.int64), g.astype(np.int64), inside
+
+
+def tokens_of(found: DataFrame) -> DataFrame:
     """page_id, h (host), i, k (token), m (a bit of the page's article), line, named, titles, short, spoken: a row per token of a page.
 
     A token counts once a page; rows of titles (titles = 1) are no places of it.
@@ -172,31 +310,34 @@ def tokens_of(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for page, host, title, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if not content or not content.strip():
-                    continue
-                p, h = Page(host, title, content), _hash(host or "")
-                article = max((p.x[i] for i in p.at), key=len)
-                m = 1 << (_hash(article) % 63)
-                if p.name:
-                    rows += [(page, h, -1, k, 0, False, False, 1, 0, 0) for k in _edges(p.name)]
-                seen = set()
-                for j, i in enumerate(p.at):
-                    after = p.at[j + 1] if j + 1 < len(p.at) else None
-                    before = p.at[j - 1] if j else None
-                    short = after is not None and not p.body[after] and not p.who[after]
-                    spoken = (after is not None and bool(p.who[after])) + 2 * (before is not None and bool(p.who[before]))
-                    for n, k in enumerate(p.tokens(i)):
-                        if k not in seen:
-                            seen.add(k)
-                            rows.append((page, h, i, k, m, n == 0, p.titled(i), 0, int(short), spoken))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "h", "i", "k", "m", "line", "named", "titles", "short", "spoken"])
+            b = _Batch(batch)
+            ids, hosts, arts = (b.c[x].to_numpy() for x in ("page_id", "h", "m"))
+            who, body = b.flat("who") > 0, b.flags & BODY > 0
+            last = np.r_[b.page[1:] != b.page[:-1], True] if len(b.page) else np.empty(0, bool)
+            first = np.r_[True, last[:-1]] if len(b.page) else last
+            short = ~last & ~np.roll(body | who, -1)
+            spoken = (~last & np.roll(who, -1)) + 2 * (~first & np.roll(who, 1))
+            k = np.c_[b.flat("token"), b.flat("edges").reshape(-1, 3)]
+            page, i = np.repeat(b.page, 4), np.repeat(b.line, 4)
+            kind = np.tile(np.arange(4), len(b.line))
+            k = k.ravel()
+            there = k != 0
+            order = np.flatnonzero(there)
+            order = order[np.lexsort((order, k[order], page[order]))]
+            once = order[np.r_[True, (k[order][1:] != k[order][:-1]) | (page[order][1:] != page[order][:-1])]] if len(order) else order
+            row = once // 4
+            named = b.flags[row] & TITLED > 0
+            t, of = b.flat("name"), np.repeat(np.arange(b.pages), np.diff(b.offsets("name")))
+            z = np.zeros(len(t), np.int32)
+            p = np.r_[page[once], of]
+            columns = [
+                ids[p], hosts[p], np.r_[i[once], z - 1].astype(np.int32), np.r_[k[once], t], np.r_[arts[page[once]], z.astype(np.int64)], np.r_[kind[once] == 0, z > 0], np.r_[named, z > 0],
+                np.r_[np.zeros(len(once), np.int32), z + 1], np.r_[short[row].astype(np.int32), z], np.r_[spoken[row].astype(np.int32), z],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["page_id", "h", "i", "k", "m", "line", "named", "titles", "short", "spoken"])
 
     shape = "page_id bigint, h bigint, i int, k bigint, m bigint, line boolean, named boolean, titles int, short int, spoken int"
-    return pages.select(F.col("page_id").cast("bigint"), "host", "title", "content").mapInArrow(run, shape)
+    return found.select("page_id", "h", "m", "name", "line", "flags", "who", "token", "edges").mapInArrow(run, shape)
 
 
 def by_host(tokens: DataFrame) -> DataFrame:
@@ -217,7 +358,7 @@ def wide_tokens(own: DataFrame, hosts: int) -> dict[int, int]:
     least = max(WIDE_HOSTS, WIDE_SHARE * hosts)
     sums = [F.sum(c).alias(c) for c in ("n", "named", "titles", "short", "next", "last")]
     at = own.groupBy("k").agg(F.count_if(F.col("n") > 0).alias("hosts"), F.bit_or("m").alias("m"), F.max("line").alias("line"), *sums)
-    good = (F.col("hosts") >= least) & (F.bit_count("m") >= WIDE_HOSTS) & (F.col("named") < TITLED * F.col("n")) & (F.col("titles") < TITLED * F.col("n"))
+    good = (F.col("hosts") >= least) & (F.bit_count("m") >= WIDE_HOSTS) & (F.col("named") < TITLE_SHARE * F.col("n")) & (F.col("titles") < TITLE_SHARE * F.col("n"))
     role = F.when(F.col("line") & (F.greatest("next", "last") >= TALKS * F.col("n")), TALK).when(F.col("line") & (F.col("short") >= HEADS * F.col("n")), MORE).otherwise(DROP)
     got = at.where(good).select("k", role.alias("role")).toArrow()
     return dict(zip(got["k"].to_pylist(), got["role"].to_pylist()))
@@ -227,7 +368,7 @@ def host_template(tokens: DataFrame, own: DataFrame) -> DataFrame:
     """page_id, template (numbers of its lines that are in valid classes of its host)."""
     lines = tokens.where("line").select("page_id", "h", "i", "k")
     pages = lines.groupBy("h").agg(F.count_distinct("page_id").alias("pages"))
-    likely = own.where("line").where(F.col("named") < TITLED * F.col("n")).where(F.bit_count("m") >= HOST_ARTICLES).join(pages, "h").where(F.col("n") >= HOST_SHARE * F.col("pages"))
+    likely = own.where("line").where(F.col("named") < TITLE_SHARE * F.col("n")).where(F.bit_count("m") >= HOST_ARTICLES).join(pages, "h").where(F.col("n") >= HOST_SHARE * F.col("pages"))
     likely = likely.select("h", "k", "n", "pages", F.xxhash64("h", "v", "n").alias("class"))
     classes = likely.groupBy("h", "class").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.first("pages").alias("pages"))
     root = classes.groupBy("h").agg(F.max_by("class", F.struct("n", "size", "class")).alias("root"))
@@ -253,120 +394,67 @@ def host_template(tokens: DataFrame, own: DataFrame) -> DataFrame:
     return at.join(valid.select("class"), "class", "left_semi").groupBy("page_id").agg(F.collect_set("i").alias("template"))
 
 
-def deduced(pages: DataFrame) -> tuple[DataFrame, dict[int, int], int]:
-    """(page_id, host, title, content, template of every page with content), tokens of sites at large, number of hosts."""
-    pages = pages.where("page_id is not null and content is not null").select(F.col("page_id").cast("bigint"), "host", "title", "content")
-    tokens = cut(tokens_of(pages))
+def deduced(pages: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], int]:
+    """(features and template of every page with content, tokens of sites at large with their roles, number of hosts)."""
+    found = cut(features(pages.where("page_id is not null and content is not null")))
+    tokens = cut(tokens_of(found))
     own = cut(by_host(tokens))
-    hosts = own.select("h").distinct().count()
-    return pages.join(host_template(tokens, own), "page_id", "left"), wide_tokens(own, hosts), hosts
+    wide = sorted(wide_tokens(own, own.select("h").distinct().count()).items())
+    keys, roles = np.array([k for k, _ in wide], np.int64), np.array([r for _, r in wide], np.int8)
+    template = F.coalesce("template", F.array().cast("array<int>")).alias("template")
+    return found.join(host_template(tokens, own), "page_id", "left").select(*found.columns, template), (keys, roles), own.select("h").distinct().count()
 
 
-def kept(p: Page, roles: dict[int, int]) -> list[int]:
-    """The numbers of the lines of the page's article; none where there is no article."""
-    x, n = p.x, len(p.x)
-    gone = [not s or roles.get(i) == DROP for i, s in enumerate(x)]
-    prose = [i for i in p.at if i not in roles and p.body[i]]
-    first = prose[0] if prose else n
+def kept(line: list[int], flags: list[int], who: list[int], roles: list[int]) -> list[int]:
+    """The numbers of the lines of a page's article; none where there is no article."""
+    n = len(line)
+    first = next((i for i in range(n) if not roles[i] and flags[i] & BODY), n)
     at = -1
-    if p.title:
-        spots = [i for i in p.at if x[i] == p.title]
+    spots = [i for i in range(n) if flags[i] & TITLE]
+    if spots:
         before = [i for i in spots if i < first]
-        at = before[-1] if before else spots[0] if spots else -1
-    if at < 0 and prose:
+        at = before[-1] if before else spots[0]
+    elif first < n:
         k = first - 1
-        while k >= 0 and (gone[k] or k in roles):
+        while k >= 0 and roles[k]:
             k -= 1
-        at = k if k >= 0 and not _ITEM.match(x[k]) and not _END.search(x[k]) else first
+        at = k if k >= 0 and not flags[k] & (ITEM | END) else first
     if at < 0:
         return []
     out, more, remarks = [at], False, False
-    said = Counter(w[0] for w in p.who.values() if w)
-    talk = {i for i, r in roles.items() if r == TALK}
-    for i in p.at:
-        s = x[i]
-        if i <= at:
-            continue
-        if roles.get(i) in (TALK, MORE):
-            remarks, more = i in talk, i not in talk
+    said = Counter(w for w in who if w)
+    talk = {line[i] for i in range(n) if roles[i] == TALK}
+    for i in range(at + 1, n):
+        f = flags[i]
+        if roles[i]:
+            if roles[i] != DROP:
+                remarks, more = roles[i] == TALK, roles[i] == MORE
             continue
-        if gone[i] or s.endswith("…") or s.endswith("...") and not is_body(s[:-2]):
+        if f & CUT:
             continue
-        if p.who[i]:
-            name, saying, ago = p.who[i]
-            near = ago or any(j in talk for j in range(i - 2, i + 3))
-            others = not saying and said[name] < 2 and any(p.who.get(j) and p.who[j][0] != name for j in (i - 1, i + 1))
+        if who[i]:
+            near = f & AGO or any(j in talk for j in range(line[i] - 2, line[i] + 3))
+            others = not f & SAYING and said[who[i]] < 2 and any(0 <= j < n and who[j] and who[j] != who[i] and abs(line[j] - line[i]) == 1 for j in (i - 1, i + 1))
             if near or remarks or others:
                 continue
-        elif remarks and not p.body[i]:
+        elif remarks and not f & BODY:
             continue
-        if more and not p.body[i] and not s.startswith(("[", "“", "「", "«", "„")):
+        if more and not f & (BODY | BRACKET | QUOTE):
             continue
         more = False
         out.append(i)
-    body = [i for i in out if p.body[i]]
+    body = [i for i in out if flags[i] & BODY]
     if not body:
         return []
     # After the last paragraph, only items, references and rows of values are the article's.
-    last = max([body[-1], *(i for i in out if i > body[-1] and (_ITEM.match(x[i]) or x[i].startswith("[") or _VALUE.search(x[i])))])
-    return [i for i in out if i <= last]
+    last = max([body[-1], *(i for i in out if i > body[-1] and flags[i] & (ITEM | BRACKET | VALUE))])
+    return [line[i] for i in out if i <= last]
 
 
 # Pages without sentences ---------------------------------------------------------
 
-_TERMS = re.compile(r"[^\W_]{2,}")
 
-
-def words(s: str) -> list[str]:
-    """The words of a line; of a script without blanks, every two signs that follow one another."""
-    out = []
-    for x in _TERMS.findall(s.lower()):
-        out += [x[i : i + 2] for i in range(max(1, len(x) - 1))] if _EAST.match(x) else [x]
-    return out
-
-
-def phrases(w: list[str]) -> list[int]:
-    """Hashes of the pairs of words that follow one another; a word by itself is a phrase."""
-    return [_hash(f"{a} {b}") for a, b in zip(w, w[1:])] or [_hash(x) for x in w]
-
-
-def own_lines(p: Page, roles: dict[int, int]) -> list[int]:
-    """What a page holds besides its template, its headline and short lists to other stories."""
-    out, run, more = [], [], False
-    for i in [*p.at, None]:
-        plain = i is not None and i not in roles and p.x[i] != p.title
-        if plain and more and not p.body[i] and not _LINK.search(p.x[i]):
-            run.append(i)
-            continue
-        if len(run) > TEASERS:
-            out += run  # no list to other stories is so long
-        run = []
-        if plain and not p.x[i].endswith("…"):
-            out.append(i)
-        more = i is not None and roles.get(i) == MORE
-    return out
-
-
-@lru_cache(8192)
-def is_loose(s: str) -> bool:
-    """Whether a line is no sentence: too short or without an end, or a long one that strings or repeats words."""
-    if not is_prose(s):
-        return True
-    w = _TERMS.findall(s.lower())
-    if s.isascii() or s.count(" ") * 12 > len(s):
-        pairs = list(zip(w, w[1:]))
-        return len(w) >= 24 and (len(set(pairs)) < 0.6 * len(pairs) or len(set(w)) < 0.35 * len(w))
-    g = [s[i : i + 3] for i in range(len(s) - 2)]
-    return len(s) >= 60 and bool(_EAST.search(s)) and len(set(g)) < 0.6 * len(g)
-
-
-def _own(row: tuple, wide: dict[int, int]) -> tuple[Page, list[str]]:
-    host, title, content, template = row
-    p = Page(host, title, content)
-    return p, [p.x[i] for i in own_lines(p, p.roles(wide, set(template or ()), False))]
-
-
-def replicated(pages: DataFrame, wide, hosts: int) -> np.ndarray:
+def replicated(found: DataFrame, wide, hosts: int) -> np.ndarray:
     """Bits of the phrases that are, outside of sentences, on a share of the hosts: a table of fixed size.
 
     What is collected are at most (phrases of a host, on average) / SPREAD_SHARE places of it.
@@ -374,86 +462,86 @@ def replicated(pages: DataFrame, wide, hosts: int) -> np.ndarray:
     size = 1 << TABLE_BITS
 
     def run(batches):
-        tokens = wide.value
         for batch in batches:
-            seen = set()
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[2].strip():
-                    h = _hash(row[0] or "")
-                    for s in _own(row, tokens)[1]:
-                        if is_loose(s):
-                            seen.update((g, h) for g in phrases(words(s)))
-            g, h = zip(*seen) if seen else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(h, pa.int64())], names=["g", "h"])
-
-    spread = pages.select("host", "title", "content", "template").mapInArrow(run, "g bigint, h bigint").distinct().groupBy("g").count()
+            b = _Batch(batch)
+            line, _, g, inside = _phrases(b, b.own(b.roles(wide.value, False)) & (b.flags & LOOSE > 0))
+            alone = np.r_[True, line[1:] != line[:-1]] & ~inside if len(line) else inside
+            keep = inside | alone
+            h = b.c["h"].to_numpy()[b.page[line[keep]]]
+            pairs = np.unique(np.c_[g[keep], h], axis=0) if keep.any() else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["g", "h"])
+
+    spread = found.select("h", "line", "flags", "token", "n_words", "words", "template").mapInArrow(run, "g bigint, h bigint").distinct().groupBy("g").count()
     many = spread.where(F.col("count") >= max(SPREAD_HOSTS, SPREAD_SHARE * hosts)).select(F.col("g").bitwiseAND(F.lit(size - 1)).cast("int").alias("at"))
     bits = np.zeros(size, bool)
     bits[many.toArrow()["at"].to_numpy()] = True
     return np.packbits(bits, bitorder="little")
 
 
-def evidence(lines: list[str], bits: np.ndarray) -> tuple[float, float, float, float, int, int]:
-    """Shares of a page's own text: outside of sentences; of that, words in replicated phrases, lines that are links, lines that have the commonest word; lines outside; bytes."""
-    whole, outside, copied, links = 0, 0, 0.0, 0
-    terms, n = Counter(), 0
-    for s in lines:
-        size = len(s.encode())
-        whole += size
-        if not is_loose(s):
-            continue
-        n += 1
-        outside += size
-        links += bool(_LINK.search(s))
-        w = words(s)
-        terms.update(set(w))
-        if w:
-            g = np.array(phrases(w), np.int64) & ((1 << TABLE_BITS) - 1)
-            hit = (bits[g >> 3] >> (g & 7).astype(np.uint8)) & 1 > 0
-            covered = np.zeros(len(w), bool)
-            covered[: len(hit)] = hit
-            if len(w) > 1:
-                covered[1:] |= hit
-            copied += size * covered.mean()
-    top = terms.most_common(1)[0][1] if terms else 0
-    return outside / max(1, whole), copied / max(1, outside), links / max(1, n), top / max(1, n), n, whole
-
-
-def is_spam(lines: list[str], bits: np.ndarray) -> bool:
-    outside, copied, links, top, n, size = evidence(lines, bits)
-    return outside >= OUTSIDE and (n >= LEAST_LINES or size >= LEAST_BYTES) and (copied >= COPIED or links >= LINKED or top >= REPEATED)
-
-
-def _judged(pages: DataFrame, rows_of, names: list[str], shape: str) -> DataFrame:
-    """What ``rows_of`` (page_id, Page, template, wide tokens, whether it is spam) gives for every page; rows that come twice count once."""
+def evidence(b: _Batch, wide: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> np.ndarray:
+    """Of each page's own text: share outside of sentences; of that, words in replicated phrases, lines that are links, lines that have the commonest word; lines outside; bytes."""
+    own = b.own(b.roles(wide, False))
+    loose = own & (b.flags & LOOSE > 0)
+    size = b.flat("size").astype(np.float64)
+    line, w, g, inside = _phrases(b, loose)
+    at = g & ((1 << TABLE_BITS) - 1)
+    hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    alone = np.r_[True, line[1:] != line[:-1]] & ~inside if len(line) else inside
+    hit &= inside | alone
+    covered = hit | np.r_[False, (hit & inside)[:-1]] if len(hit) else hit
+    n = np.bincount(line, minlength=len(size))
+    share = np.bincount(line, weights=covered, minlength=len(size)) / np.maximum(n, 1)
+    whole = np.bincount(b.page, weights=size * own, minlength=b.pages)
+    outside = np.bincount(b.page, weights=size * loose, minlength=b.pages)
+    lines = np.bincount(b.page, weights=loose, minlength=b.pages)
+    links = np.bincount(b.page, weights=loose & (b.flags & LINK > 0), minlength=b.pages)
+    copied = np.bincount(b.page, weights=size * loose * share, minlength=b.pages)
+    once = np.unique(line << 31 | w) if len(line) else line
+    of, count = np.unique(b.page[once >> 31] << 31 | once & ((1 << 31) - 1), return_counts=True) if len(once) else (once, once)
+    top = np.zeros(b.pages)
+    np.maximum.at(top, of >> 31, count)
+    return np.c_[outside / np.maximum(whole, 1), copied / np.maximum(outside, 1), links / np.maximum(lines, 1), top / np.maximum(lines, 1), lines, whole]
+
+
+def is_spam(e: np.ndarray) -> np.ndarray:
+    outside, copied, links, top, n, size = e.T
+    return (outside >= OUTSIDE) & ((n >= LEAST_LINES) | (size >= LEAST_BYTES)) & ((copied >= COPIED) | (links >= LINKED) | (top >= REPEATED))
+
+
+def _judged(pages: DataFrame):
+    """(features of every page, tokens of sites at large and bits of replicated phrases as broadcasts)."""
     found, wide, hosts = deduced(pages)
-    found = cut(found)
+    found = cut(found.drop("name", "m"))
     sc = found.sparkSession.sparkContext
     tokens = sc.broadcast(wide)
-    bits = sc.broadcast(replicated(found, tokens, hosts))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for page, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[2].strip():
-                    p, lines = _own(row, tokens.value)
-                    rows += rows_of(page, p, row[3], tokens.value, is_spam(lines, bits.value))
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if x == "page_id" else pa.int32()) for c, x in zip(columns, names)], names=names)
-
-    return found.select("page_id", "host", "title", "content", "template").mapInArrow(run, shape).distinct()
+    return found, tokens, sc.broadcast(replicated(found, tokens, hosts))
 
 
 def articles(pages: DataFrame) -> DataFrame:
-    """page_id, line_no of every line of every article. Null, empty and blank contents, spam and notices have none."""
+    """page_id, line_no of every line of every article. Null, empty and blank contents, spam and notices have none; rows that come twice count once."""
+    found, tokens, bits = _judged(pages)
 
-    def rows(page, p, template, wide, spam):
-        return [] if spam else [(page, i) for i in kept(p, p.roles(wide, set(template or ())))]
+    def run(batches):
+        for batch in batches:
+            b, ids, numbers = _Batch(batch), [], []
+            spam = is_spam(evidence(b, tokens.value, bits.value))
+            pages_, line, flags, who, roles = b.c["page_id"].to_pylist(), b.line.tolist(), b.flags.tolist(), b.flat("who").tolist(), b.roles(tokens.value, True).tolist()
+            for p in np.flatnonzero(~spam).tolist():
+                s, e = b.start[p], b.start[p + 1]
+                got = kept(line[s:e], flags[s:e], who[s:e], roles[s:e])
+                ids += [pages_[p]] * len(got)
+                numbers += got
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
 
-    return _judged(pages, rows, ["page_id", "line_no"], "page_id bigint, line_no int")
+    return found.mapInArrow(run, "page_id bigint, line_no int").distinct()
 
 
 def spam_pages(pages: DataFrame) -> DataFrame:
     """page_id of the pages of repeated keywords, lists of links or titles, product rows or tags."""
-    return _judged(pages, lambda page, p, template, wide, spam: [(page,)] if spam else [], ["page_id"], "page_id bigint")
+    found, tokens, bits = _judged(pages)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(is_spam(evidence(_Batch(batch), tokens.value, bits.value))))], names=["page_id"])
+
+    return found.select("page_id", "line", "flags", "size", "token", "n_words", "words", "template").mapInArrow(run, "page_id bigint").distinct()

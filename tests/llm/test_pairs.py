@@ -163,6 +163,52 @@ def test_history_matches_brute_force(spark):
     assert got <= want and len(want - got) <= 0.03 * len(want)
 
 
+def test_history_batch_by_batch_is_one_go(spark, tmp_path):
+    """Eight calls find what one finds, and a call writes chunks of its own batch only."""
+    rng = random.Random(4)
+    base = [[rng.choice(WORDS) for _ in range(rng.randint(5, 60))] for _ in range(40)]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(base)) if i % 2 else [rng.choice(WORDS) for _ in range(30)]
+        for _ in range(len(words) // 8):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        rows.append((f"n{i}", i % 8, " ".join(words)))
+    notes = spark.createDataFrame(rows, "note_id string, b int, content string").select("note_id", "b", history.hashed(history.tokens("content")).alias("vals"))
+    features = spark.createDataFrame([(f"p{i}", 5, [(t, 1) for t in dict.fromkeys(x)]) for i, x in enumerate(base[:20])], "path string, mtime bigint, tokens array<struct<token:string,freq:int>>")
+    old = history.accepted(features).selectExpr("vals", f"cast({history.ACCEPTED} as int) as b", "xxhash64(vals) as id", "size(vals) as n")
+
+    def kept(path):
+        return {f for f in (tmp_path / path / "chunks").rglob("*.parquet")}
+
+    whole = history.ChunkTable(spark, str(tmp_path / "whole"))
+    whole.append(old)
+    once = {r.note_id for r in whole.judge(notes).collect()}
+    history.ChunkTable(spark, str(tmp_path / "steps")).append(old)
+    stepwise, before = set(), kept("steps")
+    for b in range(8):
+        table = history.ChunkTable(spark, str(tmp_path / "steps"))  # another session: all it knows is in the files
+        stepwise |= {r.note_id for r in table.judge(notes.where(f"b = {b}")).collect()}
+        assert kept("steps") >= before  # nothing kept is written again
+        before = kept("steps")
+    assert stepwise == once and len(once) > 40
+    ids = table.spark.read.parquet(str(tmp_path / "steps" / "records")).select("id")
+    assert ids.count() == ids.distinct().count()
+
+
+def test_history_of_a_family_of_common_tokens(spark):
+    """Variants of a base that a part of all records share: each is found by its one changed token or none."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(40)]
+    feats = [("p", 1, [(t, 1) for t in base])] + [(f"o{i}", 1, [(f"x{i}_{j}", 1) for j in range(20)]) for i in range(300)]
+    rows = []
+    for i in range(200):
+        words = [w for w in base if rng.random() > 0.05] + [f"own{i}"]
+        rows.append((f"n{i}", 1 + i % 2, " ".join(words)))
+    f = spark.createDataFrame(feats, "path string, mtime bigint, tokens array<struct<token:string,freq:int>>")
+    df = spark.createDataFrame(rows, "note_id string, batch_no int, content string")
+    assert history.found(f, df).count() == 200
+
+
 def test_history_tokens(spark):
     from pyspark.sql import functions as F
 
