@@ -72,15 +72,14 @@ _TERMS = re.compile(r"[^\W_]{2,}")
 
 BODY, TITLED, TITLE, LOOSE, LINK, ITEM, END, CUT, BRACKET, QUOTE, VALUE, SAYING, AGO = (1 << i for i in range(13))
 _DIGITS = re.compile(r"\d+")
-_FEATURES = "page_id bigint, h bigint, m bigint, name array<bigint>, line array<int>, flags array<int>, size array<int>, who array<int>, token array<bigint>, edges array<bigint>, n_words array<int>, words array<int>"
+#: Lists of numbers are binary columns: only Python reads them.
+_KINDS = {"name": np.int64, "line": np.int32, "flags": np.int32, "size": np.int32, "who": np.int32, "token": np.int64, "edges": np.int64, "n_words": np.int32, "words": np.int32}
+_FEATURES = "page_id bigint, h bigint, m bigint, " + ", ".join(f"{x} binary" for x in _KINDS)
 
 
-def masked(line: str, site: str) -> str:
-    """The line without the site's name and numbers, in lower case."""
-    low = line.lower()
-    if site and site in low:
-        low = low.replace(site, "@")
-    return _DIGITS.sub("#", low)
+def masked(low: str, site: str) -> str:
+    """A line in lower case without the site's name and numbers."""
+    return _DIGITS.sub("#", low.replace(site, "@") if site else low)
 
 
 def is_prose(x: str) -> bool:
@@ -159,6 +158,36 @@ def words(s: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x) >> 1 for x in out]
 
 
+def _look(s: str) -> tuple:
+    """(lower case, flags, bytes, speaker, words, masked line, its token, tokens of its edges) of a line by itself."""
+    low = s.lower()
+    key = _DIGITS.sub("#", low)
+    prose = is_prose(s)
+    body = prose or len(s) >= 150 and not _LINK.search(s)
+    f, w = BODY if body else 0, ()
+    if is_loose(s, prose):
+        w = words(s)
+        f |= LOOSE | (LINK if _LINK.search(s) else 0)
+    f |= (ITEM if _ITEM.match(s) else 0) | (END if _END.search(s[-12:]) else 0) | (BRACKET if s[0] == "[" else 0) | (QUOTE if s[0] in "“「«„" else 0)
+    if s[-1] == "…" or s.endswith("...") and not is_body(s[:-2]):
+        f |= CUT
+    if not body and _VALUE.search(s):
+        f |= VALUE
+    who = 0
+    if speaks := speaker(s):
+        f |= (SAYING if speaks[1] else 0) | (AGO if speaks[2] else 0)
+        who = (xxhash.xxh32_intdigest(speaks[0]) >> 1) | 1
+    ends = None if body or _MARK.match(s) else _edges(key)
+    return low, f, len(s.encode()), who, w, key, _hash("L" + key), ends
+
+
+def _packed(values: list[int], counts: list[int], kind: type) -> pa.Array:
+    """A list of numbers a page, as bytes."""
+    data = np.array(values, kind)
+    ends = np.r_[0, np.cumsum(counts, dtype=np.int64)] * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
 def features(pages: DataFrame) -> DataFrame:
     """What the lines of each page are, as numbers; nothing after this reads the texts.
 
@@ -168,6 +197,7 @@ def features(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        seen: dict[str, tuple] = {}  # lines of templates come again and again
         for batch in batches:
             ids, hosts, articles, names, name_n = [], [], [], [], []
             number, flags, size, who, token, edges, n_words, terms, lines_n, terms_n = ([] for _ in range(10))
@@ -175,7 +205,7 @@ def features(pages: DataFrame) -> DataFrame:
                 if not content or not content.strip():
                     continue
                 site, title = _site(host), (title or "").strip()
-                name = masked(title, site) if title else None
+                name = masked(title.lower(), site) if title else None
                 longest, lines, held = "", 0, len(terms)
                 for i, s in enumerate(content.split("\n")):
                     s = s.strip()
@@ -184,37 +214,27 @@ def features(pages: DataFrame) -> DataFrame:
                     lines += 1
                     if len(s) > len(longest):
                         longest = s
-                    key = masked(s, site)
-                    prose = is_prose(s)
-                    body = prose or len(s) >= 150 and not _LINK.search(s)
-                    f = BODY if body else 0
-                    if name and key.lstrip("*•-– ") == name:
+                    if (known := seen.get(s)) is None:
+                        known = _look(s)
+                        if len(s) < 200:
+                            if len(seen) > 100_000:
+                                seen.clear()
+                            seen[s] = known
+                    low, f, bytes_, speaker_, w, key, line, ends = known
+                    if site and site in low:
+                        key = masked(low, site)
+                        line, ends = _hash("L" + key), ends and _edges(key)
+                    if key == name or name and key.lstrip("*•-– ") == name:
                         f |= TITLED | (TITLE if s == title else 0)
-                    if body:
-                        mark = False
-                    else:
-                        mark = bool(_MARK.match(s))
-                    if is_loose(s, prose):
-                        w = words(s)
-                        f |= LOOSE | (LINK if _LINK.search(s) else 0)
-                        terms += w
-                        n_words.append(len(w))
-                    else:
-                        n_words.append(0)
-                    f |= (ITEM if _ITEM.match(s) else 0) | (END if _END.search(s[-12:]) else 0) | (BRACKET if s[0] == "[" else 0) | (QUOTE if s[0] in "“「«„" else 0)
-                    if s[-1] == "…" or s.endswith("...") and not is_body(s[:-2]):
-                        f |= CUT
-                    if not body and _VALUE.search(s):
-                        f |= VALUE
-                    speaks = speaker(s)
-                    if speaks:
-                        f |= (SAYING if speaks[1] else 0) | (AGO if speaks[2] else 0)
+                        ends = None
+                    terms += w
+                    n_words.append(len(w))
                     number.append(i)
                     flags.append(f)
-                    size.append(len(s.encode()))
-                    who.append((xxhash.xxh32_intdigest(speaks[0]) >> 1) | 1 if speaks else 0)
-                    token.append(_hash("L" + key))
-                    edges += (0, 0, 0) if body or mark or f & TITLED else _edges(key)
+                    size.append(bytes_)
+                    who.append(speaker_)
+                    token.append(line)
+                    edges += ends or (0, 0, 0)
                 ids.append(page)
                 hosts.append(_hash(host or ""))
                 articles.append(1 << (_hash(longest) % 63))
@@ -223,19 +243,42 @@ def features(pages: DataFrame) -> DataFrame:
                 names += _edges(name) if name else ()
                 name_n.append(3 if name else 0)
 
-            def lists(values, counts, kind):
-                return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
-
-            long, short = pa.int64(), pa.int32()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, long) for x in (ids, hosts, articles)] + [lists(names, name_n, long)] + [lists(x, lines_n, short) for x in (number, flags, size, who)]
-                + [lists(token, lines_n, long), lists(edges, [3 * x for x in lines_n], long), lists(n_words, lines_n, short), lists(terms, terms_n, short)],
-                names=["page_id", "h", "m", "name", "line", "flags", "size", "who", "token", "edges", "n_words", "words"],
-            )
+            counts = {"name": name_n, "edges": [3 * x for x in lines_n], "words": terms_n}
+            lists = dict(zip(_KINDS, (names, number, flags, size, who, token, edges, n_words, terms)))
+            packed = [_packed(x, counts.get(name, lines_n), _KINDS[name]) for name, x in lists.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hosts, articles)] + packed, names=["page_id", "h", "m", *_KINDS])
 
     return pages.select(F.col("page_id").cast("bigint"), "host", "title", "content").mapInArrow(run, _FEATURES)
 
 
+#: Where flags hold the role of a line among sites at large, and whether it begins or ends as theirs.
+ROLE, EDGE = 20, 22
+
+
+def with_roles(found: DataFrame, keys: np.ndarray, roles: np.ndarray) -> DataFrame:
+    """The features with the roles of tokens of sites at large (sorted ``keys``) in the flags, without tokens."""
+    held = found.sparkSession.sparkContext.broadcast((keys, roles))
+    names = ["page_id", "h", "line", "flags", "size", "who", "n_words", "words"]
+
+    def run(batches):
+        keys, roles = held.value
+
+        def find(k: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(k), np.int32)
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            return np.where(keys[at] == k, roles[at], 0)
+
+        for batch in batches:
+            b = _Batch(batch)
+            ends = (find(b.flat("edges")).reshape(-1, 3) > 0).any(axis=1)
+            b.c["flags"] = _packed(b.flags | find(b.flat("token")) << ROLE | ends.astype(np.int32) << EDGE, np.diff(b.start), np.int32)
+            yield pa.RecordBatch.from_arrays([b.c[x] for x in names], names=names)
+
+    shape = "page_id bigint, h bigint, " + ", ".join(f"{x} binary" for x in names[2:])
+    return found.select(*names, "token", "edges").mapInArrow(run, shape)
+
+
 class _Batch:
     """The pages of a batch, line by line: ``page`` is the place of each line's page."""
 
@@ -248,28 +291,37 @@ class _Batch:
         self.flags = self.flat("flags")
 
     def flat(self, name: str) -> np.ndarray:
-        return self.c[name].flatten().to_numpy(zero_copy_only=False)
+        """The lists of all pages, one after the other."""
+        c = self.c[name]
+        if name not in _KINDS:
+            return c.flatten().to_numpy(zero_copy_only=False)
+        if not len(c):
+            return np.empty(0, _KINDS[name])
+        at = self.ends(c)
+        return np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(_KINDS[name])
+
+    @staticmethod
+    def ends(c: pa.Array) -> np.ndarray:
+        return np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
 
     def offsets(self, name: str) -> np.ndarray:
-        at = self.c[name].offsets.to_numpy()
-        return at - at[0]
-
-    def roles(self, wide: tuple[np.ndarray, np.ndarray], edges: bool) -> np.ndarray:
+        c = self.c[name]
+        if not len(c):
+            return np.zeros(1, np.int64)
+        if name not in _KINDS:
+            at = c.offsets.to_numpy()
+            return at - at[0]
+        at = self.ends(c).astype(np.int64)
+        return (at - at[0]) // np.dtype(_KINDS[name]).itemsize
+
+    def roles(self, edges: bool) -> np.ndarray:
         """What the lines of the template are for, 0 where they are not of it; with ``edges``, also of lines that only begin or end as those of sites do."""
-        keys, roles = wide
-
-        def find(k):
-            if not len(keys):
-                return np.zeros(len(k), np.int8)
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            return np.where(keys[at] == k, roles[at], 0)
-
-        out = find(self.flat("token"))
-        counts = np.diff(self.offsets("template")) if len(self.c["template"]) else np.empty(0, np.int64)
+        out = self.flags >> ROLE & 3
+        counts = np.diff(self.offsets("template"))
         own = np.repeat(np.arange(self.pages), counts).astype(np.int64) << 32 | self.flat("template").astype(np.int64)
         out[(out == 0) & np.isin(self.page.astype(np.int64) << 32 | self.line, own)] = DROP
-        if edges and len(self.line):
-            out[(out == 0) & (find(self.flat("edges")).reshape(-1, 3) > 0).any(axis=1)] = DROP
+        if edges:
+            out[(out == 0) & (self.flags >> EDGE & 1 > 0)] = DROP
         out[self.flags & TITLED > 0] = 0
         return out
 
@@ -302,10 +354,14 @@ def _phrases(b: _Batch, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return line, w.astype(np.int64), g.astype(np.int64), inside
 
 
+#: Marks of a token's place: it is a whole line, equal to the title, followed by a short line, by a speaker, after one; or it is a title's.
+WHOLE, NAMED, SHORT, NEXT, LAST, OF_TITLE = (1 << i for i in range(6))
+
+
 def tokens_of(found: DataFrame) -> DataFrame:
-    """page_id, h (host), i, k (token), m (a bit of the page's article), line, named, titles, short, spoken: a row per token of a page.
+    """page_id, h (host), i, k (token), m (a bit of the page's article), marks (sum of the above): a row per token of a page.
 
-    A token counts once a page; rows of titles (titles = 1) are no places of it.
+    A token counts once a page; rows of titles are no places of it.
     """
 
     def run(batches):
@@ -330,23 +386,23 @@ def tokens_of(found: DataFrame) -> DataFrame:
             t, of = b.flat("name"), np.repeat(np.arange(b.pages), np.diff(b.offsets("name")))
             z = np.zeros(len(t), np.int32)
             p = np.r_[page[once], of]
-            columns = [
-                ids[p], hosts[p], np.r_[i[once], z - 1].astype(np.int32), np.r_[k[once], t], np.r_[arts[page[once]], z.astype(np.int64)], np.r_[kind[once] == 0, z > 0], np.r_[named, z > 0],
-                np.r_[np.zeros(len(once), np.int32), z + 1], np.r_[short[row].astype(np.int32), z], np.r_[spoken[row].astype(np.int32), z],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["page_id", "h", "i", "k", "m", "line", "named", "titles", "short", "spoken"])
+            marks = (kind[once] == 0) * 1 + named * NAMED + short[row] * SHORT + spoken[row] * NEXT
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (ids[p], hosts[p], np.r_[i[once], z - 1].astype(np.int32), np.r_[k[once], t], np.r_[arts[page[once]], z.astype(np.int64)], np.r_[marks, z + OF_TITLE].astype(np.int32))],
+                names=["page_id", "h", "i", "k", "m", "marks"],
+            )
 
-    shape = "page_id bigint, h bigint, i int, k bigint, m bigint, line boolean, named boolean, titles int, short int, spoken int"
+    shape = "page_id bigint, h bigint, i int, k bigint, m bigint, marks int"
     return found.select("page_id", "h", "m", "name", "line", "flags", "who", "token", "edges").mapInArrow(run, shape)
 
 
 def by_host(tokens: DataFrame) -> DataFrame:
     """h, k and what its places on the host come to; v: the occurrence vector, as the sum of hashes of its pages."""
-    there = F.col("titles") == 0
+    there = F.col("marks") < OF_TITLE
+    count = lambda mark: F.sum((F.col("marks").bitwiseAND(mark) > 0).cast("long"))
     return tokens.groupBy("h", "k").agg(
-        F.sum(there.cast("long")).alias("n"), F.bit_or("m").alias("m"), F.max("line").alias("line"), F.sum(F.col("named").cast("long")).alias("named"),
-        F.sum("titles").alias("titles"), F.sum("short").alias("short"), F.sum(F.col("spoken").bitwiseAND(1)).alias("next"), F.sum(F.shiftright("spoken", 1)).alias("last"),
-        F.sum(F.when(there, F.xxhash64("page_id") % 1_000_000_007).otherwise(0)).alias("v"),
+        F.sum(there.cast("long")).alias("n"), F.bit_or("m").alias("m"), (count(WHOLE) > 0).alias("line"), count(NAMED).alias("named"), count(OF_TITLE).alias("titles"),
+        count(SHORT).alias("short"), count(NEXT).alias("next"), count(LAST).alias("last"), F.sum(F.when(there, F.xxhash64("page_id") % 1_000_000_007).otherwise(0)).alias("v"),
     )
 
 
@@ -366,7 +422,7 @@ def wide_tokens(own: DataFrame, hosts: int) -> dict[int, int]:
 
 def host_template(tokens: DataFrame, own: DataFrame) -> DataFrame:
     """page_id, template (numbers of its lines that are in valid classes of its host)."""
-    lines = tokens.where("line").select("page_id", "h", "i", "k")
+    lines = tokens.where(F.col("marks").bitwiseAND(WHOLE) > 0).select("page_id", "h", "i", "k")
     pages = lines.groupBy("h").agg(F.count_distinct("page_id").alias("pages"))
     likely = own.where("line").where(F.col("named") < TITLE_SHARE * F.col("n")).where(F.bit_count("m") >= HOST_ARTICLES).join(pages, "h").where(F.col("n") >= HOST_SHARE * F.col("pages"))
     likely = likely.select("h", "k", "n", "pages", F.xxhash64("h", "v", "n").alias("class"))
@@ -394,15 +450,16 @@ def host_template(tokens: DataFrame, own: DataFrame) -> DataFrame:
     return at.join(valid.select("class"), "class", "left_semi").groupBy("page_id").agg(F.collect_set("i").alias("template"))
 
 
-def deduced(pages: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], int]:
-    """(features and template of every page with content, tokens of sites at large with their roles, number of hosts)."""
+def deduced(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(features, roles and template of every page with content, number of hosts)."""
     found = cut(features(pages.where("page_id is not null and content is not null")))
     tokens = cut(tokens_of(found))
     own = cut(by_host(tokens))
-    wide = sorted(wide_tokens(own, own.select("h").distinct().count()).items())
-    keys, roles = np.array([k for k, _ in wide], np.int64), np.array([r for _, r in wide], np.int8)
+    hosts = own.select("h").distinct().count()
+    wide = sorted(wide_tokens(own, hosts).items())
+    found = with_roles(found, np.array([k for k, _ in wide], np.int64), np.array([r for _, r in wide], np.int32))
     template = F.coalesce("template", F.array().cast("array<int>")).alias("template")
-    return found.join(host_template(tokens, own), "page_id", "left").select(*found.columns, template), (keys, roles), own.select("h").distinct().count()
+    return found.join(host_template(tokens, own), "page_id", "left").select(*found.columns, template), hosts
 
 
 def kept(line: list[int], flags: list[int], who: list[int], roles: list[int]) -> list[int]:
@@ -454,7 +511,7 @@ def kept(line: list[int], flags: list[int], who: list[int], roles: list[int]) ->
 # Pages without sentences ---------------------------------------------------------
 
 
-def replicated(found: DataFrame, wide, hosts: int) -> np.ndarray:
+def replicated(found: DataFrame, hosts: int) -> np.ndarray:
     """Bits of the phrases that are, outside of sentences, on a share of the hosts: a table of fixed size.
 
     What is collected are at most (phrases of a host, on average) / SPREAD_SHARE places of it.
@@ -464,23 +521,23 @@ def replicated(found: DataFrame, wide, hosts: int) -> np.ndarray:
     def run(batches):
         for batch in batches:
             b = _Batch(batch)
-            line, _, g, inside = _phrases(b, b.own(b.roles(wide.value, False)) & (b.flags & LOOSE > 0))
+            line, _, g, inside = _phrases(b, b.own(b.roles(False)) & (b.flags & LOOSE > 0))
             alone = np.r_[True, line[1:] != line[:-1]] & ~inside if len(line) else inside
             keep = inside | alone
             h = b.c["h"].to_numpy()[b.page[line[keep]]]
             pairs = np.unique(np.c_[g[keep], h], axis=0) if keep.any() else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["g", "h"])
 
-    spread = found.select("h", "line", "flags", "token", "n_words", "words", "template").mapInArrow(run, "g bigint, h bigint").distinct().groupBy("g").count()
+    spread = found.select("h", "line", "flags", "n_words", "words", "template").mapInArrow(run, "g bigint, h bigint").distinct().groupBy("g").count()
     many = spread.where(F.col("count") >= max(SPREAD_HOSTS, SPREAD_SHARE * hosts)).select(F.col("g").bitwiseAND(F.lit(size - 1)).cast("int").alias("at"))
     bits = np.zeros(size, bool)
     bits[many.toArrow()["at"].to_numpy()] = True
     return np.packbits(bits, bitorder="little")
 
 
-def evidence(b: _Batch, wide: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> np.ndarray:
+def evidence(b: _Batch, bits: np.ndarray) -> np.ndarray:
     """Of each page's own text: share outside of sentences; of that, words in replicated phrases, lines that are links, lines that have the commonest word; lines outside; bytes."""
-    own = b.own(b.roles(wide, False))
+    own = b.own(b.roles(False))
     loose = own & (b.flags & LOOSE > 0)
     size = b.flat("size").astype(np.float64)
     line, w, g, inside = _phrases(b, loose)
@@ -509,23 +566,21 @@ def is_spam(e: np.ndarray) -> np.ndarray:
 
 
 def _judged(pages: DataFrame):
-    """(features of every page, tokens of sites at large and bits of replicated phrases as broadcasts)."""
-    found, wide, hosts = deduced(pages)
-    found = cut(found.drop("name", "m"))
-    sc = found.sparkSession.sparkContext
-    tokens = sc.broadcast(wide)
-    return found, tokens, sc.broadcast(replicated(found, tokens, hosts))
+    """(features of every page, bits of replicated phrases as a broadcast)."""
+    found, hosts = deduced(pages)
+    found = cut(found)
+    return found, found.sparkSession.sparkContext.broadcast(replicated(found, hosts))
 
 
 def articles(pages: DataFrame) -> DataFrame:
     """page_id, line_no of every line of every article. Null, empty and blank contents, spam and notices have none; rows that come twice count once."""
-    found, tokens, bits = _judged(pages)
+    found, bits = _judged(pages)
 
     def run(batches):
         for batch in batches:
             b, ids, numbers = _Batch(batch), [], []
-            spam = is_spam(evidence(b, tokens.value, bits.value))
-            pages_, line, flags, who, roles = b.c["page_id"].to_pylist(), b.line.tolist(), b.flags.tolist(), b.flat("who").tolist(), b.roles(tokens.value, True).tolist()
+            spam = is_spam(evidence(b, bits.value))
+            pages_, line, flags, who, roles = b.c["page_id"].to_pylist(), b.line.tolist(), b.flags.tolist(), b.flat("who").tolist(), b.roles(True).tolist()
             for p in np.flatnonzero(~spam).tolist():
                 s, e = b.start[p], b.start[p + 1]
                 got = kept(line[s:e], flags[s:e], who[s:e], roles[s:e])
@@ -538,10 +593,10 @@ def articles(pages: DataFrame) -> DataFrame:
 
 def spam_pages(pages: DataFrame) -> DataFrame:
     """page_id of the pages of repeated keywords, lists of links or titles, product rows or tags."""
-    found, tokens, bits = _judged(pages)
+    found, bits = _judged(pages)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(is_spam(evidence(_Batch(batch), tokens.value, bits.value))))], names=["page_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(is_spam(evidence(_Batch(batch), bits.value))))], names=["page_id"])
 
-    return found.select("page_id", "line", "flags", "size", "token", "n_words", "words", "template").mapInArrow(run, "page_id bigint").distinct()
+    return found.select("page_id", "line", "flags", "size", "n_words", "words", "template").mapInArrow(run, "page_id bigint").distinct()
