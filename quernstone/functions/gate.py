@@ -83,6 +83,16 @@ def link_status(text: Column, rules: dict) -> Column:
     return F.when(n < 100, "ok").when((signs / n > ratio) & (count >= 5) & (per > density), "block").when(F.regexp_count(text, F.lit(NAVIGATION)) >= 5, "warn").when((per > warn) & (count >= 5), "warn").otherwise("ok")
 
 
+def stuffing_status(n: Column, factor: Column, distinct: Column, top: Column, rules: dict) -> Column:
+    """``top``: the greatest frequencies. Uses a hundred signs that block or warn grow with the length."""
+    block, warn, least, few, most = rules["stuffing"]
+    scale = F.least(F.lit(2.0), 1 + (factor - 1) * 0.5)
+    rates = F.transform(F.filter(F.slice(top, 1, most), lambda x: x >= few), lambda x: x / (F.greatest(n, F.lit(1)) / 100))
+    high = F.array_max(rates)
+    status = F.when(high >= block * scale, "block").when(high >= warn * scale, "warn").otherwise("ok")
+    return F.when((n < least) | (distinct < 10), "ok").otherwise(status)
+
+
 def density_status(total: Column, distinct: Column, rules: dict) -> Column:
     least, few = rules["density"]
     by = 1 / F.sqrt(F.log10(total + 10))
@@ -94,3 +104,43 @@ def noise_status(text: Column, rules: dict) -> Column:
     most, few = rules["noise"]
     share = F.length(F.regexp_replace(text, f"[{PLAIN}]", "")) / js_len(text)
     return F.when(js_len(text) < 50, "ok").when(share > most, "block").when(share > few, "warn").otherwise("ok")
+
+
+#: The rules in their order: cheap ones always run, the others only where none of these blocks.
+CHEAP = ["length", "quality", "html", "mojibake", "link"]
+DEAR = ["stuffing", "density", "noise"]
+
+
+def by_profile(profile: Column, status) -> Column:
+    """``status(rules)`` by the profile of each row; unknown and null profiles are balanced."""
+    out = status(PROFILES["balanced"])
+    for name in ("dense", "sparse"):
+        out = F.when(profile == name, status(PROFILES[name])).otherwise(out)
+    return out
+
+
+def cheap_statuses(text: Column, profile: Column, selection: Column) -> list[Column]:
+    rules = [lambda r: length_status(text, r, selection), lambda r: quality_status(text, r), lambda r: html_status(text, r), lambda r: mojibake_status(text, r), lambda r: link_status(text, r)]
+    return [by_profile(profile, r) for r in rules]
+
+
+def most_warnings(text: Column) -> Column:
+    """Warnings from which a text is stopped: more of a long text."""
+    return F.least(F.lit(6), F.greatest(F.lit(3), F.floor(1.8 * length_factor(text))))
+
+
+def verdict(statuses: Column, most: Column) -> Column:
+    """passed, blocks, warnings, summary by ``statuses`` (an array in the order of CHEAP and DEAR).
+
+    Enough warnings without a block count as the block "total". The summary is
+    the first block, with the number of others.
+    """
+    names = F.array(*[F.lit(x) for x in CHEAP + DEAR])
+    of = lambda s: F.transform(F.filter(F.arrays_zip(names.alias("rule"), statuses.alias("status")), lambda r: r["status"] == s), lambda r: r["rule"])
+    warned = of("warn")
+    blocks = F.when((F.size(of("block")) == 0) & (F.size(warned) >= most), F.array(F.lit("total"))).otherwise(of("block"))
+    others = F.when(F.size(blocks) > 1, F.concat(F.lit(" +"), (F.size(blocks) - 1).cast("string"))).otherwise("")
+    return F.struct(
+        (F.size(blocks) == 0).alias("passed"), F.array_join(blocks, ",").alias("blocks"), F.array_join(warned, ",").alias("warnings"),
+        F.when(F.size(blocks) == 0, "").otherwise(F.concat(F.get(blocks, F.lit(0)), others)).alias("summary"),
+    )

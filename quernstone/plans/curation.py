@@ -141,12 +141,14 @@ def bag_sql(table: str, key: str, c: str, n: int = 3) -> str:
 
 @query(f"select doc_id, token, freq, pos from {bag_sql('documents', 'doc_id', 'text')}")
 def o24_tokens(spark, d):
+    ship(spark)
     return O.bag(docs(spark, d), "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(f"select doc_id, count(*)::bigint as n_keywords from {bag_sql('documents', 'doc_id', 'text', 2)} group by doc_id")
 def o26_keyword_sets(spark, d):
-    return O.bag(docs(spark, d), "doc_id", "text", 2).groupBy("doc_id").agg(F.count("*").alias("n_keywords"))
+    ship(spark)
+    return O.bag_sizes(docs(spark, d), "doc_id", "text").where("uniq > 0").select("doc_id", F.col("uniq").alias("n_keywords"))
 
 
 @query(rf"""with w as (select doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s一-鿿]', ' ', 'g'), '\s+')) as w from documents where text is not null)
@@ -163,17 +165,20 @@ w as materialized (select b.doc_id, token, pos, freq / (freq + 1.5 * (1 - 0.75 +
 
 @query(f"with {IDF_SQL} select token, df, round(idf, 6) as idf from i")
 def o28_idf(spark, d):
+    ship(spark)
     return O.idf(O.bag(docs(spark, d), "doc_id", "text"), "doc_id").select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {WEIGHT_SQL} select doc_id, round(sqrt(sum(w * w)), 6) as norm, count(*)::bigint as n_tok from w group by doc_id")
 def o29_vectors(spark, d):
+    ship(spark)
     norms = O.vectors(docs(spark, d), "doc_id", "text")[1]
     return norms.select("doc_id", F.round("norm", 6).alias("norm"), "n_tok")
 
 
 @query(f"with {WEIGHT_SQL} select doc_id, rank, token from (select doc_id, token, row_number() over (partition by doc_id order by round(w, 9) desc, pos)::int as rank from w) where rank <= 5")
 def o30_top_tokens(spark, d):
+    ship(spark)
     return O.top_tokens(O.vectors(docs(spark, d), "doc_id", "text")[0], "doc_id").select("doc_id", "rank", "token")
 
 
@@ -185,13 +190,16 @@ def o32_lengths(spark, d):
 # A batch's pairs by name and by content ---------------------------------------
 
 
-@query("""with n as (select distinct note_id, source, title from notes where source is not null and regexp_matches(title, '^[ -~]+$')),
-p as (select a.note_id as x, b.note_id as y, a.title as s, b.title as t from n a join n b on a.source = b.source and a.note_id < b.note_id)
-select x, y, round(1 - levenshtein(s, t) / greatest(length(s), length(t))::double, 6) as similarity from p""")
+@query()
 def o34_edit_similarity(spark, d):
-    n = load(spark, d, "notes").where(F.col("source").isNotNull() & F.col("title").rlike("^[ -~]+$")).select("note_id", "source", "title").distinct()
-    a, b = n.select(F.col("note_id").alias("x"), "source", F.col("title").alias("s")), n.select(F.col("note_id").alias("y"), "source", F.col("title").alias("t"))
-    return a.join(b, "source").where("x < y").select("x", "y", F.round(T.edit_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+    """Titles alike by edits to those of each hundredth note; titles meet by their length, which may differ by three tenths."""
+    n = load(spark, d, "notes").where(F.col("note_id").isNotNull() & (F.length("title") > 0)).select("note_id", "doc_pos", "title").distinct().withColumn("n", F.length("title"))
+    # A length that many titles have is split: each query goes to all parts.
+    part = F.pmod(F.xxhash64("note_id"), F.lit(16)).cast("int")
+    lengths = F.sequence(F.ceil(F.col("n") * 0.7 - 1e-9).cast("int"), F.floor(F.col("n") / 0.7 + 1e-9).cast("int"))
+    asks = n.where("doc_pos % 100 = 0").select(F.col("note_id").alias("x"), F.col("title").alias("s"), F.explode(lengths).alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    both = asks.join(n.select(F.col("note_id").alias("y"), F.col("title").alias("t"), "n", part.alias("part")), ["n", "part"]).where("x <> y")
+    return both.select("x", "y", F.round(T.edit_similarity(F.col("s"), F.col("t")), 6).alias("similarity")).where("similarity >= 0.7")
 
 
 VERSIONS = """with k as (select distinct path, updated_at, list_distinct(list_filter(coalesce(keywords, []), lambda x: x is not null)) as ks from discovery_index),
@@ -260,11 +268,13 @@ s as (select p.batch_no, i, j, round(case when greatest(la, lb) < 100 then case
 
 @query("with " + EDGES_SQL + " select batch_no, i, j, round(score, 6) as score from s where score > 0.3")
 def o31_batch_edges(spark, d):
+    ship(spark)
     return O.batch_edges(load(spark, d, "incoming_notes"), 0.3).withColumn("score", F.round("score", 6))
 
 
 @query()
 def o31_batch_duplicates(spark, d):
+    ship(spark)
     return O.greedy_survivors(O.batch_edges(load(spark, d, "incoming_notes"), 0.3))
 
 
@@ -281,28 +291,30 @@ INDEX_SQL = """k as (select path, keywords as kw from (select path, keywords, ro
 d as materialized (select path, list_distinct(list_filter(kw, lambda x: x is not null)) as ks from k where kw is not null), x as materialized (select path, len(ks) as n, unnest(ks) as w from d)"""
 
 
+def asked():
+    """A stated set of queries: the paths of about one in a hundred hash values."""
+    return F.md5(F.col("path").cast("binary")) < "03"
+
+
 def newest_index(spark, d):
     newest = load(spark, d, "discovery_index").where("path is not null").groupBy("path").agg(F.max_by("keywords", F.struct("updated_at", "keywords")).alias("kw"))
     return newest.where("kw is not null").select("path", F.array_distinct(F.filter("kw", lambda x: x.isNotNull())).alias("keywords"))
 
 
-RELATED_SQL = f"""{INDEX_SQL}, p as (select a.path as query, b.path as path, a.n as m, b.n as n, count(*) as c from x a join x b on a.w = b.w and a.path <> b.path where starts_with(a.path, 'projects/a') group by all)"""
+RELATED_SQL = f"""{INDEX_SQL}, p as (select a.path as query, b.path as path, a.n as m, b.n as n, count(*) as c from x a join x b on a.w = b.w and a.path <> b.path where md5(a.path) < '03' group by all)"""
 
 
 @query(f"with {RELATED_SQL} select query, path, round(c / (m + n - c)::double, 6) as similarity from p")
 def o42_related(spark, d):
-    return O.related(newest_index(spark, d), F.col("path").startswith("projects/a")).select("query", "path", F.round("similarity", 6).alias("similarity"))
+    return O.related(newest_index(spark, d), asked()).select("query", "path", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def o44_recommend(spark, d):
-    """The best few hundred related records of each query, picked for nearness and difference, then by threshold."""
-    ship(spark)
+    """Related records of each query, picked for nearness and difference, then by threshold."""
     index = newest_index(spark, d)
-    near = O.related(index, F.col("path").startswith("projects/a"))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "path")
-    few = near.withColumn("r", F.row_number().over(w)).where("r <= 500").drop("r").join(index, "path")
-    return O.mmr(few, 10).where("similarity >= 0.1").select("query", "rank", "path", F.round("similarity", 6).alias("similarity"))
+    near = O.related(index, asked()).join(index, "path")
+    return O.mmr(near, 10).where("similarity >= 0.1").select("query", "rank", "path", F.round("similarity", 6).alias("similarity"))
 
 
 @query("with " + INDEX_SQL + " select w as keyword, count(*)::bigint as n_paths, min(path) as first_path from x group by w")
@@ -410,8 +422,8 @@ select doc_id, case when total < 20 then 'ok' when uniq / total < 0.15 * greates
 
 @query(DENSE_SQL)
 def g7_density(spark, d):
-    sums = O.bag(docs(spark, d), "doc_id", "text", 2).groupBy("doc_id").agg(F.sum("freq").alias("total"), F.count("*").alias("uniq"))
-    return docs(spark, d).select("doc_id").join(sums, "doc_id", "left").na.fill(0).select("doc_id", G.density_status(F.col("total"), F.col("uniq"), BAL).alias("status"))
+    ship(spark)
+    return O.bag_sizes(docs(spark, d), "doc_id", "text").select("doc_id", G.density_status(F.col("total"), F.col("uniq"), BAL).alias("status"))
 
 
 PLAIN_SQL = r"\x{20}-\x{ff}\x{100}-\x{24f}\x{400}-\x{4ff}\x{370}-\x{3ff}\x{600}-\x{6ff}\x{900}-\x{97f}\x{e00}-\x{e7f}\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\t\n\r\x{2000}-\x{206f}\x{3000}-\x{303f}\x{ff00}-\x{ffef}\x{1f300}-\x{1f9ff}\x{1fa00}-\x{1fa6f}\x{1f1e6}-\x{1f1ff}\x{2200}-\x{22ff}\x{2500}-\x{257f}\x{fe00}-\x{fe0f}"
@@ -460,21 +472,29 @@ def profile_paragraphs(spark, d):
     return docs(spark, d).select("doc_id", F.round(F.when(F.size(paras) > 0, total / F.size(paras)).otherwise(F.lit(0.0)), 6).alias("avg_len"))
 
 
-@query()
+STUFFED_SQL = f"""with b as materialized (select * from {bag_sql('documents', 'doc_id', 'text', 2)}), r as (select doc_id, freq, row_number() over (partition by doc_id order by freq desc, pos) as r, count(*) over (partition by doc_id) as uniq from b),
+d as (select doc_id, {js()} as len, {FACTOR} as f from documents where text is not null),
+s as (select d.doc_id, max(freq / (greatest(len, 1) / 100.0)) filter (where freq >= 5 and freq / (greatest(len, 1) / 100.0) >= 1.5 * least(2, 1 + (f - 1) * 0.5)) as rate, any_value(f) as f from d join r using (doc_id) where r <= 5 and len >= 200 and uniq >= 10 group by d.doc_id)
+select d.doc_id, case when rate is null then 'ok' when rate >= 3 * least(2, 1 + (d.f - 1) * 0.5) then 'block' else 'warn' end as status from d left join s using (doc_id)"""
+RULES_SQL = {
+    "length": gate_sql(L_SQL), "quality": gate_sql(scaled_sql(Q_HITS, BAL["quality"], (0.6, 0.5))), "html": gate_sql(scaled_sql("(" + hits_sql(G.MARKUP) + ")", BAL["html"], (0.7, 0.6))),
+    "mojibake": gate_sql(scaled_sql("(" + hits_sql(G.GARBLED) + ")", BAL["mojibake"], (0.7, 0.6))), "link": LINKS_SQL.replace("page_id as doc_id, content as text from url_extracts where content", "doc_id, text from documents where text"),
+    "stuffing": STUFFED_SQL, "density": DENSE_SQL, "noise": SQL["g8_noise"],
+}
+GATE_SQL = "with " + ", ".join(f"{k}_ as ({q})" for k, q in RULES_SQL.items()) + f""",
+j as (select d.doc_id, greatest(3, least(6, floor(1.8 * {FACTOR}))) as most, {", ".join(f"{k}_.status as {k}" for k in RULES_SQL)} from documents d {" ".join(f"join {k}_ on {k}_.doc_id = d.doc_id" for k in RULES_SQL)}),
+o as (select *, {" and ".join(f"{k} <> 'block'" for k in G.CHEAP)} as still from j),
+l as (select doc_id, most, list_filter([{", ".join([f"case when {k} = 'block' then '{k}' end" for k in G.CHEAP] + [f"case when still and {k} = 'block' then '{k}' end" for k in G.DEAR])}], lambda x: x is not null) as b,
+ list_filter([{", ".join([f"case when {k} = 'warn' then '{k}' end" for k in G.CHEAP] + [f"case when still and {k} = 'warn' then '{k}' end" for k in G.DEAR])}], lambda x: x is not null) as w from o),
+f as (select doc_id, case when len(b) = 0 and len(w) >= most then ['total'] else b end as b, w from l)
+select doc_id, len(b) = 0 as passed, array_to_string(b, ',') as blocks, array_to_string(w, ',') as warnings, case when len(b) = 0 then '' when len(b) = 1 then b[1] else b[1] || ' +' || (len(b) - 1) end as summary from f"""
+
+
+@query(GATE_SQL)
 def g0_gate(spark, d):
-    """Cheap rules on all texts, those on tokens only where none of them blocks."""
-    t = F.col("text")
-    cheap = {"length": G.length_status(t, BAL), "quality": G.quality_status(t, BAL), "html": G.html_status(t, BAL), "mojibake": G.mojibake_status(t, BAL), "link": G.link_status(t, BAL), "noise": G.noise_status(t, BAL)}
-    found = F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("status")) for k, v in cheap.items()])
-    most = F.least(F.lit(6), F.greatest(F.lit(3), F.floor(1.8 * G.length_factor(t))))
-    base = cut(docs(spark, d).select("doc_id", found.alias("found"), most.alias("most")))
-    open_ = base.where(~F.exists("found", lambda r: r["status"] == "block")).select("doc_id")
-    sums = O.bag(docs(spark, d).join(open_, "doc_id", "left_semi"), "doc_id", "text", 2).groupBy("doc_id").agg(F.sum("freq").alias("total"), F.count("*").alias("uniq"))
-    both = base.join(sums, "doc_id", "left").na.fill(0, ["total", "uniq"])
-    every = F.concat("found", F.array(F.struct(F.lit("density").alias("rule"), G.density_status(F.col("total"), F.col("uniq"), BAL).alias("status"))))
-    names = lambda s: F.array_join(F.transform(F.filter("every", lambda r: r["status"] == s), lambda r: r["rule"]), ",")
-    done = both.select("doc_id", "most", every.alias("every")).select("doc_id", names("block").alias("blocks"), names("warn").alias("warnings"), (F.size(F.filter("every", lambda r: r["status"] == "warn")) >= F.col("most")).alias("many"))
-    return done.select("doc_id", ((F.col("blocks") == "") & ~F.col("many")).alias("passed"), "blocks", "warnings")
+    """Cheap rules on all texts, the others only where none of them blocks; enough warnings block too."""
+    ship(spark)
+    return O.gated(docs(spark, d), "doc_id", "text", "source_hint")
 
 
 # Claims -------------------------------------------------------------------------
@@ -675,6 +695,7 @@ d as (select x, y, sum(p.w * q.w) as dot from c join w p on p.doc_id = x join w
 select x, y, round(case when least(n.k, m.k) < 3 then 0 else least(1, dot / (n.norm * m.norm)) end, 6) as cosine from d join nn n on n.doc_id = x join nn m on m.doc_id = y""")
 def o33_cosine(spark, d):
     """Cosine of each hundredth document with the documents that share one of their heaviest tokens."""
+    ship(spark)
     weighted, norms = O.vectors(docs(spark, d), "doc_id", "text")
     top = O.top_tokens(weighted, "doc_id").select("doc_id", "token")
     asked = top.where("doc_id % 100 = 0")
@@ -688,18 +709,12 @@ def o33_cosine(spark, d):
     return dots.join(n, "x").join(m, "y").select("x", "y", F.round(cosine, 6).alias("cosine"))
 
 
-@query(f"""with b as materialized (select * from {bag_sql('documents', 'doc_id', 'text', 2)}), r as (select doc_id, freq, row_number() over (partition by doc_id order by freq desc, pos) as r, count(*) over (partition by doc_id) as uniq from b),
-d as (select doc_id, {js()} as len, {FACTOR} as f from documents where text is not null),
-s as (select d.doc_id, max(freq / (greatest(len, 1) / 100.0)) filter (where freq >= 5 and freq / (greatest(len, 1) / 100.0) >= 1.5 * least(2, 1 + (f - 1) * 0.5)) as rate, any_value(f) as f from d join r using (doc_id) where r <= 5 and len >= 200 and uniq >= 10 group by d.doc_id)
-select d.doc_id, case when rate is null then 'ok' when rate >= 3 * least(2, 1 + (d.f - 1) * 0.5) then 'block' else 'warn' end as status from d left join s using (doc_id)""")
+@query(STUFFED_SQL)
 def g3_stuffing(spark, d):
-    b = O.bag(docs(spark, d), "doc_id", "text", 2)
-    few = b.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("freq"), "pos"))).withColumn("uniq", F.count("*").over(Window.partitionBy("doc_id"))).where("r <= 5 and uniq >= 10")
-    base = docs(spark, d).select("doc_id", T.js_len(F.col("text")).alias("len"), F.least(F.lit(2.0), 1 + (G.length_factor(F.col("text")) - 1) * 0.5).alias("s"))
-    rate = F.col("freq") / (F.greatest("len", F.lit(1)) / 100)
-    most = base.where("len >= 200").join(few, "doc_id").where((F.col("freq") >= 5) & (rate >= 1.5 * F.col("s"))).groupBy("doc_id").agg(F.max(rate).alias("rate"))
-    status = F.when(F.col("rate").isNull(), "ok").when(F.col("rate") >= 3 * F.col("s"), "block").otherwise("warn")
-    return base.join(most, "doc_id", "left").select("doc_id", status.alias("status"))
+    ship(spark)
+    own = docs(spark, d).select("doc_id", "text", T.js_len(F.col("text")).alias("len"), G.length_factor(F.col("text")).alias("f"))
+    sizes = O.bag_sizes(own.withColumn("key", F.struct("doc_id", "len", "f")), "key", "text").select("key.*", "uniq", "top")
+    return sizes.select("doc_id", G.stuffing_status(F.col("len"), F.col("f"), F.col("uniq"), F.col("top"), BAL).alias("status"))
 
 
 DATA = [

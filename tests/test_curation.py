@@ -12,7 +12,7 @@ from quernstone.functions.segment import Segmenter, bags
 from quernstone.operators import corpus as O
 from quernstone.sources.chunks import chunked, cut_places
 from quernstone.sources.html import extract, read_html
-from quernstone.streaming.feeds import debounced, document_counts, merged
+from quernstone.streaming.feeds import KeptTable, debounced, document_counts, expired, merged, renames
 
 
 def one(spark, value, f, kind="string"):
@@ -149,6 +149,84 @@ def test_feeds(spark):
     assert {tuple(r) for r in counts.collect()} == {("a", 2)}
 
 
+def test_deletes_renames_and_replays(spark, tmp_path):
+    shape = "path string, v bigint, op string, c string, old_path string"
+    first = spark.createDataFrame([("a", 1, "create", "x", None), ("b", 1, "create", "y", None), ("d", 1, None, "z", None)], shape)
+    second = spark.createDataFrame([("c", 2, "rename", "x", "a"), ("b", 3, "delete", None, None), ("b", 2, "modify", "late", None)], shape)
+    rows = lambda t: {(r.path, r.c) for r in t.read().collect()}
+    table = KeptTable(spark, "path", "v", str(tmp_path / "kept"), "op", buckets=4)
+    table.apply(renames(first), 0)
+    assert rows(table) == {("a", "x"), ("b", "y"), ("d", "z")}
+    # Another session, and a batch that is run twice.
+    again = KeptTable(spark, "path", "v", str(tmp_path / "kept"), "op", buckets=4)
+    again.apply(renames(second), 1)
+    again.apply(renames(second), 1)
+    assert rows(again) == {("c", "x"), ("d", "z")} == rows(table)
+    again.apply(renames(spark.createDataFrame([("b", 2, "modify", "later still", None)], shape)), 2)
+    assert rows(again) == {("c", "x"), ("d", "z")}
+    written = {p.name for p in (tmp_path / "kept" / "v2").glob("bucket=*")}
+    assert len(written) == 1  # only the bucket that was touched
+    # A version that was not finished doesn't count.
+    (tmp_path / "kept" / "v1" / "_SUCCESS").unlink()
+    assert ("a", "x") in rows(KeptTable(spark, "path", "v", str(tmp_path / "kept"), "op", buckets=4))
+
+
+def test_streamed_table_goes_on_after_a_restart(spark, tmp_path):
+    shape = "path string, v bigint, c string"
+    source = tmp_path / "in"
+    spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], shape).coalesce(1).write.parquet(str(source))
+    follow = lambda: KeptTable(spark, "path", "v", str(tmp_path / "kept")).follow(spark.readStream.schema(shape).parquet(str(source)))
+    follow()
+    spark.createDataFrame([("b", 2, "z")], shape).coalesce(1).write.mode("append").parquet(str(source))
+    follow()
+    assert {tuple(r) for r in KeptTable(spark, "path", "v", str(tmp_path / "kept")).read().select("path", "v", "c").collect()} == {("a", 1, "x"), ("b", 2, "z")}
+
+
+def test_expired(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:50:00"), ("c", None)], "k string, t string").select("k", F.col("t").cast("timestamp").alias("cached_at"))
+    assert {r.k for r in expired(df, "2024-01-01 01:00:00").collect()} == {"a", "c"}
+
+
+def test_gate_as_a_whole(spark):
+    stuffed = ("water " * 9 + "a quiet mill stands by some river near old houses with gardens and trees ") * 4
+    fine = "The mill of the village was built by two brothers in autumn, and its wheel turned for a hundred years before anyone thought of selling the old house beside the weir to strangers from the coast. " * 2
+    spam = "buy now! click here! limited offer, special offer. " * 3
+    rows = [(1, stuffed, None), (2, fine, None), (3, spam + "�" * 60, None), (4, "short text " * 5, "selection"), (5, "short text " * 5, None), (6, None, None), (7, "", None)]
+    df = spark.createDataFrame(rows, "id int, text string, hint string")
+    got = {r.id: r for r in O.gated(df, "id", "text", "hint").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 7}
+    assert got[1].blocks == "stuffing" and not got[1].passed and got[1].summary == "stuffing"
+    assert got[2].passed and got[2].blocks == "" and got[2].summary == ""
+    assert got[3].blocks.startswith("quality") and "noise" not in got[3].blocks + got[3].warnings
+    assert got[4].passed and got[5].blocks == "length" and got[7].blocks == "length"
+    sparse = df.withColumn("p", F.lit("sparse"))
+    assert {r.id: r.blocks for r in O.gated(sparse, "id", "text", None, "p").collect()}[5] == ""
+    assert O.gated(df.where("false"), "id", "text").count() == 0
+
+
+def test_edit_similarity_of_titles(spark, tmp_path):
+    from quernstone.plans.curation import o34_edit_similarity
+
+    titles = ["Über den Fluss", "Uber den Fluss", "机器学习入门", "机器学习入门一", "", None, "x", "Über den Fluss!"]
+    rows = [(i * 50, f"n{i}", t) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows + rows[:1], "doc_pos int, note_id string, title string").write.parquet(str(tmp_path / "notes.parquet"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    want = {(x, y) for p, x, a in rows for _, y, b in rows if a and b and x != y and p % 100 == 0 and 1 - edits(a, b) / max(len(a), len(b)) >= 0.7}
+    assert {(r.x, r.y) for r in o34_edit_similarity(spark, str(tmp_path)).collect()} == want and len(want) == 3
+
+
 def test_injected_calls(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "id int, t string")
     assert O.run_injected(df, lambda xs: [x.upper() for x in xs], "t", "u", "string").where("u = upper(t)").count() == 40
