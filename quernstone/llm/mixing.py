@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import count_tokens
@@ -72,7 +72,8 @@ def _round(table: pa.Table, last: bool) -> pa.Table:
 
     In the last node the rest itself is drawn.
     """
-    table = table.sort_by([("n_tokens", "ascending"), ("doc_id", "ascending")])
+    # The longest first: what is left over in the end is one of the shortest.
+    table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
     doc, size, part = (table.column(c).to_pylist() for c in ("doc_id", "n_tokens", "part"))
     x, left = pivot(doc, size, part, SEED)
     if last and left >= 0:
@@ -81,10 +82,12 @@ def _round(table: pa.Table, last: bool) -> pa.Table:
     return table.set_column(table.schema.get_field_index("part"), "part", pa.array(x, pa.float64()))
 
 
-def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None, keep_targets: bool = False) -> DataFrame:
     """A row per wanted source: tokens there, tokens wanted, copies of each document.
 
     Without a budget the mix is as large as all documents of the wanted sources.
+    With ``keep_targets`` it is made as small as the scarcest source that has
+    documents asks, so that all these keep their shares of one another.
     """
     wanted = (
         targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats")
@@ -94,33 +97,37 @@ def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> Dat
     )
     there = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     both = wanted.join(there, "source", "left").na.fill(0, ["tokens", "docs"])
-    totals = both.agg(F.sum("tokens").alias("all_tokens"), F.sum("target_share").alias("all_shares"))
-    total = F.lit(float(budget)) if budget is not None else F.col("all_tokens")
-    goal = F.col("target_share") / F.col("all_shares") * total
-    return (
-        both.crossJoin(F.broadcast(totals))  # one row
-        .withColumn("goal_tokens", goal)
-        .withColumn("copies", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), goal / F.col("tokens"))).otherwise(F.lit(0.0)))
+    every = Window.partitionBy()  # a row per source: as many as there are targets
+    total = F.lit(float(budget)) if budget is not None else F.sum("tokens").over(every)
+    if keep_targets:
+        share = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(every)
+        scarcest = F.min(F.when(F.col("tokens") > 0, F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).over(every)
+        goal = F.when(F.col("tokens") > 0, F.col("target_share") * F.least(scarcest, total / share)).otherwise(0.0)
+    else:
+        goal = F.col("target_share") / F.sum("target_share").over(every) * total
+    return both.withColumn("goal_tokens", goal).withColumn(
+        "copies", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("goal_tokens") / F.col("tokens"))).otherwise(F.lit(0.0))
     )
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source", keep_targets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(drawn documents, shares).
 
     Drawn: doc_id, source, n_tokens, repeats of every document taken at least
-    once. Shares: a row per wanted source, with tokens drawn and actual share;
-    a source without documents has 0. Documents with a null or unwanted source
+    once. Shares: a row per wanted source, with tokens drawn, actual share and
+    shortfall (tokens wanted and not drawn: what the cap withholds, and less
+    than one document); a source without documents has 0. Documents with a null or unwanted source
     or without tokens are not drawn; a doc_id that comes twice counts once.
     """
     spark = documents.sparkSession
     names = targets.select(clean_source(F.col("source")).alias("source")).distinct()
     docs = documents.select(F.col(key).alias("doc_id"), clean_source(F.col(source)).alias("source"), F.col(text).alias("text"))
-    docs = docs.join(names, "source", "left_semi")
+    docs = docs.join(F.broadcast(names), "source", "left_semi")  # as many as there are targets
     sizes = cut(count_tokens(docs.select("doc_id", "source", "text")).where("n_tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"]))
-    goals = plan(sizes, targets, budget)
+    goals = cut(plan(sizes, targets, budget, keep_targets))
     rows = sizes.count()
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    given = sizes.join(goals.select("source", "copies"), "source")
+    given = sizes.join(F.broadcast(goals.select("source", "copies")), "source")
     given = given.withColumn("whole", F.floor("copies").cast("int")).withColumn("part", F.col("copies") - F.floor("copies"))
     shape = "doc_id bigint, source string, n_tokens bigint, whole int, part double, node bigint"
     node = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
@@ -139,10 +146,11 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, key
     drawn = settled.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("part").cast("int")).alias("repeats")).where("repeats > 0")
     drawn = cut(drawn)
     sums = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("drawn_tokens"), F.count("*").alias("drawn_docs"), F.max("repeats").alias("most_repeats"))
-    shares = goals.join(sums, "source", "left").na.fill(0, ["drawn_tokens", "drawn_docs", "most_repeats"])
-    total = shares.agg(F.sum("drawn_tokens").alias("mix_tokens"))
-    shares = shares.crossJoin(F.broadcast(total)).select(
+    shares = goals.join(F.broadcast(sums), "source", "left").na.fill(0, ["drawn_tokens", "drawn_docs", "most_repeats"])
+    mixed = F.sum("drawn_tokens").over(Window.partitionBy())
+    shares = shares.select(
         "source", "target_share", "max_repeats", "tokens", "docs", "drawn_docs", "drawn_tokens", "most_repeats",
-        F.when(F.col("mix_tokens") > 0, F.col("drawn_tokens") / F.col("mix_tokens")).otherwise(F.lit(0.0)).alias("actual_share"),
+        F.when(mixed > 0, F.col("drawn_tokens") / mixed).otherwise(F.lit(0.0)).alias("actual_share"),
+        F.greatest(F.lit(0.0), F.col("goal_tokens") - F.col("drawn_tokens")).alias("shortfall"),
     )
     return drawn, shares

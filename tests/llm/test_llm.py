@@ -54,6 +54,10 @@ def test_mix(spark):
     whole = sum(r.tokens for r in got.values())
     for r in got.values():  # the target, or what the cap leaves of it, up to one document
         assert abs(r.drawn_tokens - min(r.max_repeats * r.tokens, r.target_share / 1.1 * whole)) <= 120
+        assert abs(r.shortfall - max(0, r.target_share / 1.1 * whole - r.drawn_tokens)) < 1e-6
+    exact = {r.source: r for r in mixing.mix(docs, targets, keep_targets=True)[1].collect()}
+    for name, share in (("big", 0.5), ("small", 0.2), ("mid", 0.3)):  # all that have documents keep their shares
+        assert abs(exact[name].actual_share - share) < 0.002 and exact[name].shortfall <= 60
     again = {r.doc_id: r.repeats for r in mixing.mix(docs.repartition(7), targets)[0].collect()}
     assert again == {r.doc_id: r.repeats for r in drawn.collect()}  # the draw doesn't hang on partitions
     assert mixing.mix(docs.where("false"), targets)[0].count() == 0
