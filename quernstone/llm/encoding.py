@@ -190,6 +190,15 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf
 _EAST_READ = ("gbk", "big5", "cp932")
 
 
+#: The pairs of each encoding a text was read in.
+_READ = {r: [k for k, p in enumerate(PAIRS) if p[0] == r] for r in dict.fromkeys(p[0] for p in PAIRS)}
+
+
+def _read(o: np.ndarray, read_as: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    data, owner, none = _bytes_of(o, read_as)
+    return data, owner, none, data.tobytes()
+
+
 class Model:
     """The labels of a line. ``share``: on which share of the pages each character of the basic plane is."""
 
@@ -205,18 +214,15 @@ class Model:
         """Log probability of each character, by itself and between its neighbours."""
         return np.where(o < 65536, self.logp[np.minimum(o, 65535)], self.unknown) + unexpected(o)
 
-    def emissions(self, o: np.ndarray, k: int) -> np.ndarray | None:
-        """What pair ``k`` gives for each character; None where it restores nothing."""
+    def emissions(self, o: np.ndarray, k: int, read: tuple | None = None) -> np.ndarray | None:
+        """What pair ``k`` gives for each character; None where it restores nothing. ``read``: the bytes of ``o``, where they are known."""
         read_as, written_in = PAIRS[k]
-        data, owner, none = _bytes_of(o, read_as)
+        data, owner, none, raw = read or _read(o, read_as)
         table = _single(written_in)
         if table is not None:
-            if not (data >= 0x80).any():
-                return None
             got = table[data]
             e = self.p(got)
         else:
-            raw = data.tobytes()
             if written_in == "utf-8" and not _UTF8.search(raw):
                 return None
             got = _points(raw.decode(written_in, "surrogateescape"))
@@ -238,13 +244,16 @@ class Model:
         return out
 
     def candidates(self, o: np.ndarray):
-        """The pairs that can make something of the line's characters."""
+        """(pair, bytes of the line) of the pairs that can make something of the line's characters."""
         high = o[(o > 127) & (o < 65536)]
         east = (classes()[high] == _EAST) | (high >= 0x3000) & (high < 0x3100) | (high >= 0xFF00)
-        for k, (read_as, _) in enumerate(PAIRS):
-            seen = east if read_as in _EAST_READ else ~east
-            if seen.any() and (_encoded(read_as)[high[seen]] > 127).any():
-                yield k
+        high = {True: np.unique(high[east]), False: np.unique(high[~east])}
+        for read_as, pairs in _READ.items():
+            mine = high[read_as in _EAST_READ]
+            if len(mine) and (_encoded(read_as)[mine] > 127).any():
+                read = _read(o, read_as)
+                for k in pairs:
+                    yield k, read
 
     def labels(self, line: str, favoured: frozenset[int] = frozenset()) -> list[int]:
         """The state of each character: -1 clean, else the number of the pair, or GONE."""
@@ -252,7 +261,7 @@ class Model:
         n = len(o)
         clean = self.p(o)
         states, emitted, cost = [-1], [np.zeros(n)], [0.0]
-        tried = [(k, self.emissions(o, k)) for k in self.candidates(o)]
+        tried = [(k, self.emissions(o, k, read)) for k, read in self.candidates(o)]
         if (lost := self.gone(line, n)) is not None:
             tried.append((GONE, lost))
         for k, e in tried:
@@ -261,7 +270,8 @@ class Model:
             gain, pay = e - clean, _cost(k) * (FAVOUR if k in favoured else 1)
             # A pair can only win where it is ahead over some stretch.
             run = np.cumsum(gain)
-            if (run - np.minimum.accumulate(np.r_[0.0, run])[:-1]).max() > -2 * pay:
+            low = np.minimum(np.minimum.accumulate(run), 0.0)
+            if max(run[0], (run[1:] - low[:-1]).max(initial=0.0)) > -2 * pay:
                 states.append(k)
                 emitted.append(gain)
                 cost.append(pay)
@@ -393,27 +403,30 @@ class Fields:
         self.rare = (share < RARE) & (np.arange(65536) > 127)
         self.seen: dict[tuple, tuple[frozenset[int], str]] = {}
 
-    def odd(self, text: str) -> bool:
-        """Whether a character is rare, or not expected between its neighbours."""
-        o = _points(text)
-        return bool(self.rare[np.minimum(o, 65535)].any()) or bool(unexpected(o).min(initial=0) < 0) or bool(_LATIN.search(text))
-
     def look(self, text: str, favoured: frozenset[int] = frozenset()) -> tuple[frozenset[int], str]:
-        """The states found in the text, and the text restored."""
-        if text.isascii() or not self.odd(text):
+        """The states found in the text, and the text restored.
+
+        A line is looked at if a character of it is rare, or not expected
+        between its neighbours, or stands as in texts decoded wrongly.
+        """
+        if text.isascii():
             return frozenset(), text
-        found, out = frozenset(), []
-        for line in text.split("\n"):
-            if line.isascii() or not self.odd(line):
-                out.append(line)
-                continue
-            if (key := (line, favoured)) not in self.seen:
+        o = _points(text)
+        odd = self.rare[np.minimum(o, 65535)] | (unexpected(o) < 0)
+        at = np.flatnonzero(odd).tolist() + [m.start() for m in _LATIN.finditer(text)]
+        if not at:
+            return frozenset(), text
+        ends = np.flatnonzero(o == 10)
+        lines, found = text.split("\n"), frozenset()
+        for n in np.unique(np.searchsorted(ends, at)).tolist():
+            key = (lines[n], favoured)
+            if key not in self.seen:
                 if len(self.seen) > 50_000:
                     self.seen.clear()
-                self.seen[key] = self.model.judge(line, favoured)
-            found |= self.seen[key][0]
-            out.append(self.seen[key][1])
-        return found, "\n".join(out)
+                self.seen[key] = self.model.judge(lines[n], favoured)
+            states, lines[n] = self.seen[key]
+            found |= states
+        return found, "\n".join(lines)
 
     def page(self, content: str | None, title: str | None):
         """(field, restored) of each affected field; a pair found in one field is likelier in the other."""
