@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.text import js_trim
+
 #: What makes a claim, in the order in which it is looked for.
 NUMERIC = [
     r"(?:约|近|超|达|不足)?百分之[\d一二三四五六七八九十百千]+", r"(?:约|近|超|达|不足)?\d+(?:\.\d+)?%",
@@ -37,10 +39,65 @@ def claims(text: Column) -> Column:
     return F.flatten(F.transform(sentences, of))
 
 
-def located(anchor: Column, kind: Column, source: Column) -> Column:
-    """traced, compare or null: where the source has the anchor, a number within 5 %, or the anchor's first part."""
+#: Ends of a sentence, and the length a sentence around an anchor is cut at.
+_ENDS, CONTEXT = r"。！？\n.!?", 200
+
+
+def context(source: Column, at: Column, length: Column) -> Column:
+    """The sentence around the place ``at`` (from 1), its end included, cut at 200 signs."""
+    head = F.regexp_extract(F.substring(source, F.lit(1), at - 1), rf"[^{_ENDS}]*$", 0)
+    tail = F.regexp_extract(F.substring(source, at + length, F.length(source)), rf"^[^{_ENDS}]*[{_ENDS}]?", 0)
+    whole = js_trim(F.concat(head, F.substring(source, at, length), tail))
+    return F.when(F.length(whole) > CONTEXT, F.concat(F.substring(whole, 1, CONTEXT), F.lit("..."))).otherwise(whole)
+
+
+def traced(anchor: Column, kind: Column, source: Column) -> Column:
+    """(status, sentence, differs) of a claim: where the source has the anchor, else a number equal to it or
+    within 5 % (the first such one), else, of names and causes, the first six tenths of the anchor.
+
+    status is traced, compare or out of scope; differs holds what was found in
+    place of the anchor. A null source has nothing.
+    """
     number = F.regexp_extract(anchor, r"\d+(?:\.\d+)?", 0).try_cast("double")
-    numbers = F.transform(F.regexp_extract_all(source, F.lit(r"\d+(?:\.\d+)?"), 0), lambda x: x.try_cast("double"))
-    near = F.exists(numbers, lambda x: F.when(number != 0, F.abs(x - number) / F.abs(number) < 0.05).otherwise(F.abs(x - number) < 0.05))
-    part = F.substring(anchor, F.lit(1), F.greatest(F.lit(2), F.ceil(F.length(anchor) * 0.6).cast("int")))
-    return F.when(F.contains(source, anchor), "traced").when((kind == "numeric") & number.isNotNull() & near, "traced").when((kind != "numeric") & F.contains(source, part), "compare")
+    numbers = F.regexp_extract_all(source, F.lit(r"\d+(?:\.\d+)?"), 0)
+
+    def close(x: Column) -> Column:
+        value = x.try_cast("double")
+        gap = F.abs(value - number) / F.when(number == 0, F.lit(1.0)).otherwise(F.abs(number))
+        return (value == number) | (gap < 0.05)
+
+    like = F.when((kind == "numeric") & number.isNotNull(), F.get(F.filter(numbers, close), F.lit(0)))
+    part = F.when(kind != "numeric", F.substring(anchor, F.lit(1), F.greatest(F.lit(2), F.ceil(F.length(anchor) * 0.6).cast("int"))))
+    whole, near, begun = (F.coalesce(F.instr(source, x), F.lit(0)) for x in (anchor, like, part))
+    empty = F.lit(None).cast("string")
+    same = like.try_cast("double") == number
+    of = lambda status, text, differs: F.struct(F.lit(status).alias("status"), text.alias("sentence"), differs.alias("differs"))
+    return (
+        F.when(whole > 0, of("traced", context(source, whole, F.length(anchor)), empty))
+        .when(near > 0, of("traced", context(source, near, F.length(like)), F.when(~same, like)))
+        .when(begun > 0, of("compare", context(source, begun, F.length(part)), part))
+        .otherwise(of("out of scope", empty, empty))
+    )
+
+
+def compared(claims_: DataFrame, answers: DataFrame) -> DataFrame:
+    """What a second look at the claims out of scope found: ``answers`` (note_id, answer) are texts of a model.
+
+    ``claims_``: note_id, pos, status, sentence, differs, text (the source). An
+    answer is a JSON array of index (from 0, among the note's claims out of
+    scope in order), status and source_text. A status that is not known, a
+    quotation that is not in the source but for its blanks, and a missing or
+    broken answer leave the claim out of scope.
+    """
+    shape = "array<struct<index:int,status:string,source_text:string>>"
+    parsed = F.from_json(F.regexp_extract("answer", r"(?s)\[.*\]", 0), shape)
+    said = answers.select("note_id", F.explode(parsed).alias("a")).select("note_id", F.col("a.index").alias("index"), F.col("a.status").alias("said"), F.col("a.source_text").alias("quoted"))
+    said = said.groupBy("note_id", "index").agg(F.max(F.struct("said", "quoted")).alias("s")).select("note_id", "index", "s.*")
+    order = Window.partitionBy("note_id").orderBy("pos")
+    open_ = claims_.where("status = 'out of scope'").withColumn("index", F.row_number().over(order) - 1)
+    flat = lambda c: F.regexp_replace(c, r"\s+", "")
+    good = F.col("said").isin("traced", "compare") & F.contains(flat(F.col("text")), flat(F.col("quoted"))) & (flat(F.col("quoted")) != "")
+    looked = open_.join(said, ["note_id", "index"], "left").select(
+        "note_id", "pos", F.when(good, F.col("said")).otherwise("out of scope").alias("status"), F.when(good, F.col("quoted")).alias("sentence"), F.lit(None).cast("string").alias("differs")
+    )
+    return claims_.where("status <> 'out of scope'").select("note_id", "pos", "status", "sentence", "differs").unionByName(looked)

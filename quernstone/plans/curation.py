@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import claims as C
 from quernstone.functions import gate as G
+from quernstone.functions import review as R
 from quernstone.functions import text as T
 from quernstone.operators import corpus as O
 from quernstone.tables import cut, load, ship
@@ -249,6 +250,80 @@ def o39_near_fingerprints(spark, d):
     return O.near_fingerprints(f, f).where("id_x < id_y").select("id_x", "id_y", F.col("distance").cast("int").alias("distance"))
 
 
+MATCH_SQL = f"""r as materialized (select distinct note_id as key, coalesce(title, '') as title, content, {js('content')} as len from incoming_notes where note_id is not null and content is not null and note_id in (select note_id from incoming_notes group by note_id having count(distinct batch_no) = 1 and count(distinct coalesce(title, '')) = 1)),
+e as (select key, unnest(ts) as token, generate_subscripts(ts, 1) as pos from (select key, {tokens_sql('content')} as ts from r)), b as materialized (select key, token, count(*) as freq, min(pos) as pos from e group by all),
+te as (select key, unnest(ts) as token from (select key, {tokens_sql('title')} as ts from r)), tb as materialized (select key, token, count(*) as freq from te group by all),
+o as (select * from dedup_features where path is not null qualify row_number() over (partition by path order by mtime desc, len(coalesce(tokens, [])) desc) = 1),
+h as materialized (select path, coalesce(tokens, []) as tokens, coalesce(title_tokens, []) as title_tokens, coalesce(top_tokens, []) as top, coalesce(content_length, 0) as len, length(path) as title_len, ('0x' || lpad(lower(simhash_hex), 16, '0'))::ubigint as fp from o),
+hb as materialized (select path, unnest(tokens).token as token, unnest(tokens).freq as freq from h), ht as materialized (select path, unnest(title_tokens).token as token, unnest(title_tokens).freq as freq from h),
+st as (select (select avg(len) from (select len from h union all select len from r)) as avg_len, (select count(*) from h where len(tokens) > 0) as n),
+df as (select token, count(distinct path) as df from hb group by token),
+hash as materialized (select token, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(string_split(token, ''), lambda c: unicode(c)::hugeint)), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616)::ubigint as x from (select distinct token from b)),
+bits as (select key, i, sum(case when (x >> i) & 1 = 1 then freq else -freq end) as s from b join hash using (token), range(64) t(i) group by all),
+fx as (select key, (sum(case when s > 0 and i < 32 then 1::bigint << i else 0 end)::hugeint + sum(case when s > 0 and i >= 32 then 1::bigint << (i - 32) else 0 end)::hugeint * 4294967296)::ubigint as fp from bits group by key),
+nr as (select key, path from fx a join h on a.fp <> 0 and h.fp <> 0 and bit_count(xor(a.fp, h.fp)::bit) <= 2),
+fw as (select nr.key, nr.path, r.len as lx, h.len as ly, h.top, (select count(*) from tb where tb.key = r.key) as tx, len(h.title_tokens) as ty from nr join r using (key) join h using (path) where abs(r.len - h.len) <= 0.3 * greatest(r.len, h.len)),
+wx as materialized (select key, b.token, pos, freq / (freq + 1.5 * (0.25 + 0.75 * r.len / avg_len)) * (ln((n + 1) / (coalesce(df, 0) + 1)::double) + 1) as w from b join r using (key) left join df on df.token = b.token, st),
+wy as (select path, hb.token, freq / (freq + 1.5 * (0.25 + 0.75 * h.len / avg_len)) * (ln((n + 1) / (coalesce(df, 0) + 1)::double) + 1) as w from hb join h using (path) left join df on df.token = hb.token, st),
+vx as (select key, tb.token, freq / (freq + 1.5 * (0.25 + 0.75 * {js('title')} / avg_len)) * (ln((n + 1) / (coalesce(df, 0) + 1)::double) + 1) as w from tb join r using (key) left join df on df.token = tb.token, st),
+vy as (select path, ht.token, freq / (freq + 1.5 * (0.25 + 0.75 * h.title_len / avg_len)) * (ln((n + 1) / (coalesce(df, 0) + 1)::double) + 1) as w from ht join h using (path) left join df on df.token = ht.token, st),
+hv as (select key, list(token) as heavy from (select key, token, row_number() over (partition by key order by round(w, 9) desc, pos) as q from wx) where q <= 5 group by key),
+nx as (select key, sqrt(sum(w * w)) as m, count(*) as q from wx group by key), ny as (select path, sqrt(sum(w * w)) as m, count(*) as q from wy group by path), mx as (select key, sqrt(sum(w * w)) as m, count(*) as q from vx group by key), my as (select path, sqrt(sum(w * w)) as m, count(*) as q from vy group by path),
+dc as (select fw.key, fw.path, sum(a.w * b.w) as dot from fw join wx a using (key) join wy b on b.path = fw.path and b.token = a.token group by all), dt as (select fw.key, fw.path, sum(a.w * b.w) as dot from fw join vx a using (key) join vy b on b.path = fw.path and b.token = a.token group by all),
+sc as (select fw.*, case when least(coalesce(nx.q, 0), coalesce(ny.q, 0)) < 3 then 0 else least(1, coalesce(dc.dot, 0) / (nx.m * ny.m)) end as c, case when least(coalesce(mx.q, 0), coalesce(my.q, 0)) < 3 then 0 else least(1, coalesce(dt.dot, 0) / (mx.m * my.m)) end as t,
+ case when len(coalesce(heavy, [])) + len(top) > 0 then len(list_intersect(coalesce(heavy, []), top)) / len(list_distinct(list_concat(coalesce(heavy, []), top)))::double else 0 end as k
+ from fw left join hv using (key) left join nx on nx.key = fw.key left join ny on ny.path = fw.path left join mx on mx.key = fw.key left join my on my.path = fw.path left join dc on dc.key = fw.key and dc.path = fw.path left join dt on dt.key = fw.key and dt.path = fw.path),
+g as (select key, path, lx, round(case when tx >= 3 and ty >= 3 then 0.5 * c + 0.3 * k + 0.2 * t else 0.6 * c + 0.4 * k end, 9) as score from sc where k > 0 or least(lx, ly) <= 30),
+best as (select key, path, case when lx < 100 then least(1, score * 1.15) else score end as similarity from g qualify row_number() over (partition by key order by score desc, path) = 1)"""
+
+
+def _matches(spark, d):
+    """New notes against the newest entry of each path; their titles' length is that of the path."""
+    n = load(spark, d, "incoming_notes").where("note_id is not null")
+    once = n.groupBy("note_id").agg(F.count_distinct("batch_no").alias("k"), F.count_distinct(F.coalesce("title", F.lit(""))).alias("t")).where("k = 1 and t = 1").select("note_id")
+    new = n.where("content is not null").join(once, "note_id", "left_semi").select(F.col("note_id").alias("key"), "title", "content").distinct()
+    none = F.array().cast("array<struct<token:string,freq:int>>")
+    held = load(spark, d, "dedup_features").where("path is not null").groupBy("path").agg(F.max_by(F.struct("tokens", "title_tokens", "top_tokens", "content_length", "simhash_hex"), F.struct("mtime", F.size(F.coalesce("tokens", none)))).alias("r")).select("path", "r.*")
+    fp = F.conv(F.lower("simhash_hex"), 16, -10).cast("bigint")
+    return O.corpus_matches(new, held.withColumn("fp", fp).withColumn("title_len", F.length("path")))
+
+
+@query("with " + MATCH_SQL + " select key, path, round(similarity, 6) as similarity from best")
+def o39_best_entry(spark, d):
+    """The best accepted entry of each new note, where one comes near."""
+    ship(spark)
+    return _matches(spark, d).select("key", "path", F.round("similarity", 6).alias("similarity"))
+
+
+MEANT_SQL = MATCH_SQL + """, sem as (select distinct note_id as key, 'meaning/' || note_id as path, (doc_pos % 10) / 10.0::double as similarity from incoming_notes where note_id in (select key from r) and doc_pos % 3 = 0),
+mg as (select key, case when coalesce(s.similarity, 0) > coalesce(b.similarity, 0) then s.similarity else b.similarity end as similarity, case when coalesce(s.similarity, 0) > coalesce(b.similarity, 0) then s.path else b.path end as path, coalesce(b.similarity, 0) as local, coalesce(s.similarity, 0) as semantic from best b full join (select key, min(path) as path, min(similarity) as similarity from sem group by key) s using (key))"""
+
+
+def _meant(spark, d):
+    """The same with matches by meaning, here made from places in the batch."""
+    local = cut(_matches(spark, d))
+    n = load(spark, d, "incoming_notes").where("note_id is not null")
+    once = n.groupBy("note_id").agg(F.count_distinct("batch_no").alias("k"), F.count_distinct(F.coalesce("title", F.lit(""))).alias("t")).where("k = 1 and t = 1").select("note_id")
+    s = n.join(once, "note_id", "left_semi").where("content is not null").where("doc_pos % 3 = 0").groupBy(F.col("note_id").alias("key")).agg(F.min((F.col("doc_pos") % 10) / 10.0).cast("double").alias("similarity")).withColumn("path", F.concat(F.lit("meaning/"), "key"))
+    return O.with_meaning(local, s)
+
+
+@query("with " + MEANT_SQL + " select key, path, round(similarity, 6) as similarity, round(local, 6) as local, round(semantic, 6) as semantic from mg")
+def o40_merged(spark, d):
+    ship(spark)
+    return _meant(spark, d).select("key", "path", *[F.round(c, 6).alias(c) for c in ("similarity", "local", "semantic")])
+
+
+@query("with " + MEANT_SQL + ", bd as (select case when similarity >= 0.8 then 'high' when similarity >= 0.6 then 'mid' else 'plain' end as band from r left join mg using (key)) select band, count(*)::bigint as notes from bd group by band")
+def o60_bands(spark, d):
+    """How many notes are how near to what is there; none is dropped."""
+    ship(spark)
+    new = load(spark, d, "incoming_notes").where("note_id is not null")
+    once = new.groupBy("note_id").agg(F.count_distinct("batch_no").alias("k"), F.count_distinct(F.coalesce("title", F.lit(""))).alias("t")).where("k = 1 and t = 1").select("note_id")
+    keys = new.where("content is not null").join(once, "note_id", "left_semi").select(F.col("note_id").alias("key"), F.coalesce("title", F.lit("")), "content").distinct().select("key")
+    return keys.join(_meant(spark, d), "key", "left").groupBy(R.band(F.col("similarity")).alias("band")).agg(F.count("*").alias("notes"))
+
+
 EDGES_SQL = f"""r as materialized (select distinct batch_no, doc_pos, coalesce(title, '') as title, content from incoming_notes where content is not null),
 e as (select batch_no, doc_pos, unnest(ts) as token, generate_subscripts(ts, 1) as pos from (select batch_no, doc_pos, {tokens_sql('content')} as ts from r)),
 b as materialized (select batch_no, doc_pos, token, count(*) as freq, min(pos) as pos from e group by all),
@@ -330,9 +405,12 @@ def o51_title_search(spark, d):
 # Caches -----------------------------------------------------------------------
 
 
-@query("select distinct path, content_hash from dedup_features d where exists (select 1 from discovery_index i where i.content_hash = d.content_hash)")
+@query("""with n as (select distinct note_id, batch_no, md5(content) as h from incoming_notes where content is not null and note_id is not null), f as (select h, min(batch_no) as since from n group by h)
+select note_id, batch_no, since from n join f using (h) where since < batch_no""")
 def o45_seen_before(spark, d):
-    return load(spark, d, "dedup_features").select("path", "content_hash").join(load(spark, d, "discovery_index").select("content_hash"), "content_hash", "left_semi").select("path", "content_hash").distinct()
+    """Notes whose content a batch before had, by its hash, and the first such batch."""
+    n = load(spark, d, "incoming_notes").where("content is not null and note_id is not null").select("note_id", "batch_no", F.md5(F.col("content").cast("binary")).alias("h")).distinct()
+    return n.join(n.groupBy("h").agg(F.min("batch_no").alias("since")), "h").where("since < batch_no").select("note_id", "batch_no", "since")
 
 
 @query("select distinct path, m from embedding_cache e where not exists (select 1 from dedup_features d where d.path = e.path and d.mtime = e.m)")
@@ -520,13 +598,70 @@ def c1_claims(spark, d):
     return _claims(spark, d).select("note_id", "pos", "anchor", "kind")
 
 
-@query()
-def c2_trace(spark, d):
+ENDS = r"。！？\n.!?"
+
+
+def context_sql(at: str, n: str) -> str:
+    w = f"regexp_replace(regexp_extract(substring(text, 1, {at} - 1), '[^{ENDS}]*$') || substring(text, {at}, {n}) || regexp_extract(substring(text, {at} + {n}), '^[^{ENDS}]*[{ENDS}]?'), '^{B_SQL}+|{B_SQL}+$', '', 'g')"
+    return f"case when length({w}) > 200 then substring({w}, 1, 200) || '...' else {w} end"
+
+
+TRACE_SQL = CLAIM_SQL + rf""", src as (select source, arg_min(content, (saved_at, note_id)) as text from (select distinct note_id, source, content, saved_at from notes where content is not null and source is not null) group by source),
+a as (select n.note_id, pos, anchor, kind, text, try_cast(nullif(regexp_extract(anchor, '\d+(?:\.\d+)?'), '') as double) as num from n join (select distinct note_id, source, content from notes where content is not null) o using (note_id) join src using (source) where pos <= 30),
+l as (select *, case when kind = 'numeric' and num is not null then list_filter(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: try_cast(x as double) = num or abs(try_cast(x as double) - num) / case when num = 0 then 1 else abs(num) end < 0.05)[1] end as near,
+ case when kind <> 'numeric' then substring(anchor, 1, greatest(2, ceil(length(anchor) * 0.6)::int)) end as part from a),
+i as (select *, strpos(text, anchor) as p1, coalesce(strpos(text, near), 0) as p2, coalesce(strpos(text, part), 0) as p3 from l),
+tr as (select note_id, pos::int as pos, anchor, kind, text, case when p1 > 0 or p2 > 0 then 'traced' when p3 > 0 then 'compare' else 'out of scope' end as status,
+ case when p1 > 0 then {context_sql('p1', 'length(anchor)')} when p2 > 0 then {context_sql('p2', 'length(near)')} when p3 > 0 then {context_sql('p3', 'length(part)')} end as sentence,
+ case when p1 > 0 then null when p2 > 0 then case when try_cast(near as double) <> num then near end when p3 > 0 then part end as differs from i)"""
+
+
+def _traced(spark, d):
     """Claims of notes against the text of the note of the same source that was saved first."""
     n = load(spark, d, "notes").where("content is not null and source is not null").select("note_id", "source", "content", "saved_at").distinct()
     first = n.groupBy("source").agg(F.min_by("content", F.struct("saved_at", "note_id")).alias("text"))
-    status = F.coalesce(C.located(F.col("anchor"), F.col("kind"), F.col("text")), F.lit("out of scope"))
-    return _claims(spark, d).join(n.select("note_id", "source"), "note_id").join(first, "source").groupBy("note_id", status.alias("status")).agg(F.count("*").alias("n"))
+    with_text = _claims(spark, d).join(n.select("note_id", "source"), "note_id").join(first, "source")
+    return with_text.select("note_id", "pos", "anchor", "kind", "text", C.traced(F.col("anchor"), F.col("kind"), F.col("text")).alias("t")).select("note_id", "pos", "anchor", "kind", "text", "t.*")
+
+
+@query(TRACE_SQL + " select note_id, pos, anchor, kind, status, sentence, differs from tr")
+def c2_trace(spark, d):
+    return _traced(spark, d).drop("text")
+
+
+#: A model's answer on the claims out of scope: every third it traces, every third with a quotation that is not there.
+CHECKED_SQL = TRACE_SQL + """, o as (select *, row_number() over (partition by note_id order by pos) - 1 as idx from tr where status = 'out of scope'),
+v as (select note_id, pos, status, sentence, differs from tr where status <> 'out of scope' union all
+ select note_id, pos, case when idx % 3 = 0 and q <> '' then 'traced' else 'out of scope' end, case when idx % 3 = 0 and q <> '' then q end, null from (select *, regexp_extract(text, '[A-Za-z一-鿿]+') as q from o))"""
+
+
+def _checked(spark, d):
+    t = cut(_traced(spark, d))
+    o = t.where("status = 'out of scope'").withColumn("idx", F.row_number().over(Window.partitionBy("note_id").orderBy("pos")) - 1)
+    quote = F.regexp_extract("text", "[A-Za-z一-鿿]+", 0)
+    one = F.struct(F.col("idx").alias("index"), F.when(F.col("idx") % 3 == 2, "no such status").otherwise("traced").alias("status"), F.when(F.col("idx") % 3 == 1, "not to be found at all").otherwise(quote).alias("source_text"))
+    answers = o.groupBy("note_id").agg(F.concat(F.lit("Here you are:\n```json\n"), F.to_json(F.array_sort(F.collect_list(one))), F.lit("\n```")).alias("answer"))
+    return C.compared(t, answers)
+
+
+@query(CHECKED_SQL + " select note_id, pos, status, sentence from v")
+def c5_compared(spark, d):
+    """Statuses after a second look, by an answer made from the claims themselves."""
+    return _checked(spark, d).select("note_id", "pos", "status", "sentence")
+
+
+@query(CHECKED_SQL + " select note_id, count(*) filter (where status = 'traced')::bigint as traced, count(*) filter (where status = 'compare')::bigint as compare, count(*) filter (where status = 'out of scope')::bigint as out_of_scope, count(*)::bigint as claims from v group by rollup(note_id)")
+def c4_verified(spark, d):
+    """Claims of each note by status, and of all notes (null)."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return _checked(spark, d).rollup("note_id").agg(of("traced").alias("traced"), of("compare").alias("compare"), of("out of scope").alias("out_of_scope"), F.count("*").alias("claims"))
+
+
+@query(CHECKED_SQL + " select distinct note_id from notes where note_id is not null and note_id not in (select note_id from v where status = 'out of scope' and note_id is not null)")
+def c6_verified_only(spark, d):
+    """Notes without a claim that is out of scope."""
+    bad = _checked(spark, d).where("status = 'out of scope'").select("note_id")
+    return load(spark, d, "notes").where("note_id is not null").select("note_id").distinct().join(bad, "note_id", "left_anti")
 
 
 # Notes ----------------------------------------------------------------------------
@@ -659,7 +794,7 @@ def t2_stream(spark, d):
 
 
 @query("""with n as (select distinct batch_no, source, note_id from incoming_notes) select batch_no, source, count(*)::bigint as n from n group by rollup(batch_no, source)""")
-def c4_totals(spark, d):
+def batch_totals(spark, d):
     n = load(spark, d, "incoming_notes").select("batch_no", "source", "note_id").distinct()
     return n.rollup("batch_no", "source").agg(F.count("*").alias("n"))
 
@@ -749,14 +884,41 @@ def profile_of(spark, d):
     return docs(spark, d).select("doc_id", F.when(T.js_len(t) < 100, "balanced").when(dense, "dense").when((mean > 300) & (told >= 2), "sparse").otherwise("balanced").alias("profile"))
 
 
-@query("""with s as (select distinct note_id, doc_pos, 1 + length(coalesce(title, '')) % 5 as a, 1 + length(coalesce(content, '')) % 5 as b from notes where note_id is not null), f as (select note_id, doc_pos, a + b as final from s)
-select note_id, final::int as final_score, case when final >= 8 then '优' when final >= 6 then '良' when final >= 4 then '中' else '差' end as grade, row_number() over (order by final desc, doc_pos, note_id)::int as place from f where final >= 6""".replace(", row_number() over (order by final desc, doc_pos, note_id)::int as place", ""))
+REVIEW_SQL = """n as (select batch_no, note_id, row_number() over (partition by batch_no order by doc_pos, note_id) - 1 as pos from (select distinct batch_no, doc_pos, note_id from incoming_notes where note_id is not null)),
+g as (select *, batch_no % 4 = 3 as broken, pos % 9 = 5 as missing, pos % 6 = 2 as twice from n),
+k as (select *, case when broken or missing then 3 when twice then 5 else greatest(1, least(5, pos % 8 - 1)) end as insight, case when broken or missing or pos % 5 = 0 then 3 else greatest(1, least(5, floor(pos % 7 + 0.5))) end as knowledge,
+ case when not broken and not missing and pos % 4 = 1 then floor(pos % 11 + 0.5 + 0.5) end as given from g),
+f as (select batch_no, pos, insight, knowledge, coalesce(given, insight + knowledge) as final from k),
+r as (select *, final >= 6 as kept from f)"""
+
+
+def _reviewed(spark, d):
+    """Notes of each batch with the scores of an answer made from their places, some missing, some twice, some answers broken."""
+    n = load(spark, d, "incoming_notes").where("note_id is not null").select("batch_no", "doc_pos", "note_id").distinct()
+    n = cut(n.select("batch_no", "note_id", (F.row_number().over(Window.partitionBy("batch_no").orderBy("doc_pos", "note_id")) - 1).alias("pos")))
+    p = F.col("pos")
+    entry = lambda insight: F.struct(p.alias("o"), F.to_json(F.struct((p + 1).alias("index"), insight.cast("double").alias("insight_score"), F.when(p % 5 != 0, p % 7 + 0.0).alias("knowledge_score"), F.when(p % 4 == 1, p % 11 + 0.5).alias("final_score"))).alias("j"))
+    entries = n.where("pos % 9 <> 5").select("batch_no", F.explode(F.when(p % 6 == 2, F.array(entry(p % 8 - 1), entry(F.lit(9)))).otherwise(F.array(entry(p % 8 - 1)))).alias("e"), F.monotonically_increasing_id().alias("m"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e.o", "m", "e.j"))), lambda x: x["j"]), ",")
+    whole = F.concat(F.lit("Scores: ["), joined, F.lit(', {"index": 100000, "insight_score": 1}]'))
+    answers = entries.groupBy("batch_no").agg(whole.alias("a")).select("batch_no", F.when(F.col("batch_no") % 4 == 3, "I can't do that").otherwise(F.col("a")).alias("answer"))
+    return R.reviewed(n, answers)
+
+
+@query("with " + REVIEW_SQL + " select batch_no, pos::int as pos, insight::int as insight, knowledge::int as knowledge, final::int as final, kept, case when final >= 8 then '优' when final >= 6 then '良' when final >= 4 then '中' else '差' end as grade from r")
 def o57_review(spark, d):
-    """Scores of two parts added, graded, and kept from a threshold on; here the parts come from lengths."""
-    n = load(spark, d, "notes").where("note_id is not null").select("note_id", F.length(F.coalesce("title", F.lit(""))).alias("a"), F.length(F.coalesce("content", F.lit(""))).alias("b"), "doc_pos").distinct()
-    final = (2 + F.col("a") % 5 + F.col("b") % 5).cast("int")
-    grade = F.when(F.col("final_score") >= 8, "优").when(F.col("final_score") >= 6, "良").when(F.col("final_score") >= 4, "中").otherwise("差")
-    return n.select("note_id", final.alias("final_score")).where("final_score >= 6").withColumn("grade", grade)
+    return _reviewed(spark, d).drop("place").withColumn("grade", R.grade(F.col("final")))
+
+
+@query("with " + REVIEW_SQL + " select batch_no, pos::int as pos, final::int as final, row_number() over (partition by batch_no order by final desc, pos)::int as place from r where kept")
+def o52_order(spark, d):
+    """Notes that are kept, the best first."""
+    return _reviewed(spark, d).where("kept").select("batch_no", "pos", "final", "place")
+
+
+@query("with " + REVIEW_SQL + " select batch_no, round(avg(final), 6) as mean_final, count(*) filter (where kept)::bigint as kept, count(*) filter (where not kept)::bigint as dropped from r group by batch_no")
+def o62_stats(spark, d):
+    return R.stats(_reviewed(spark, d))
 
 
 @query("""with n as (select distinct note_id, source, title from incoming_notes), i as (select note_id, row_number() over (partition by source order by note_id) as old_pos, source from n where source is not null),
@@ -781,7 +943,7 @@ def n9_tag_candidates(spark, d):
 
 
 @query("""select count(*)::bigint as pages, count(*) filter (where success)::bigint as read, count(*) filter (where error_code is not null)::bigint as failed, round(avg(length(content)), 6) as mean_len from (select distinct page_id, success, error_code, content from url_extracts)""")
-def o62_stats(spark, d):
+def page_stats(spark, d):
     p = load(spark, d, "url_extracts").select("page_id", "success", "error_code", "content").distinct()
     return p.agg(F.count("*").alias("pages"), F.count_if("success").alias("read"), F.count_if(F.col("error_code").isNotNull()).alias("failed"), F.round(F.avg(F.length("content")), 6).alias("mean_len"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import claims as C
 from quernstone.functions import gate as G
+from quernstone.functions import review as R
 from quernstone.functions import text as T
 from quernstone.functions.model_output import parse_notes
 from quernstone.functions.segment import Segmenter, bags
@@ -59,8 +60,46 @@ def test_gate(spark):
 def test_claims(spark):
     found = one(spark, "市场份额占比约30%，同比增长23%。营收150亿元。", C.claims)
     assert [c.anchor for c in found] == ["约30%", "23%", "150亿元"]
-    row = spark.createDataFrame([("102万元", "numeric", "共100万元"), ("999万元", "numeric", "共100万元"), ("清华大学计算机系", "entity", "清华大学计算科学中心")], "a string, k string, s string")
-    assert [r[0] for r in row.select(C.located(F.col("a"), F.col("k"), F.col("s"))).collect()] == ["traced", None, "compare"]
+    rows = [("102万元", "numeric", "去年。共100万元，增长！后文"), ("999万元", "numeric", "共100万元"), ("清华大学计算机系", "entity", "清华大学计算科学中心"), ("30%", "numeric", None), ("100万元", "numeric", "前文。共100万元。"), ("0.5个", "numeric", "0 and 0.51 and 0.5000")]
+    df = spark.createDataFrame(rows, "a string, k string, s string")
+    got = [tuple(r[0]) for r in df.select(C.traced(F.col("a"), F.col("k"), F.col("s"))).collect()]
+    assert got[0] == ("traced", "共100万元，增长！", "100") and got[1] == ("out of scope", None, None)
+    assert got[2] == ("compare", "清华大学计算科学中心", "清华大学计") and got[3][0] == "out of scope"
+    assert got[4] == ("traced", "共100万元。", None) and got[5][0] == "traced" and got[5][2] == "0.51"  # the first that is near
+
+
+def test_second_look_at_claims(spark):
+    c = spark.createDataFrame([("n", 1, "traced", "s", None, "the mill stood"), ("n", 2, "out of scope", None, None, "the mill stood"), ("n", 3, "out of scope", None, None, "the mill stood"), ("m", 1, "out of scope", None, None, "x")], "note_id string, pos int, status string, sentence string, differs string, text string")
+    said = 'Well: [{"index":0,"status":"compare","source_text":"the  mill"},{"index":1,"status":"traced","source_text":"no such words"}] so'
+    answers = spark.createDataFrame([("n", said), ("m", "nothing [ to read")], "note_id string, answer string")
+    got = {(r.note_id, r.pos): r.status for r in C.compared(c, answers).collect()}
+    assert got == {("n", 1): "traced", ("n", 2): "compare", ("n", 3): "out of scope", ("m", 1): "out of scope"}
+    assert C.compared(c.where("false"), answers).count() == 0
+
+
+def test_review(spark):
+    notes = spark.createDataFrame([(1, i) for i in range(4)] + [(2, 0)], "batch_no int, pos int")
+    said = '[{"index":1,"insight_score":9,"knowledge_score":1},{"index":1,"insight_score":2,"knowledge_score":2},{"index":2,"insight_score":2.5,"final_score":9.5},{"index":9,"insight_score":5}]'
+    answers = spark.createDataFrame([(1, "ok " + said), (2, "no")], "batch_no int, answer string")
+    got = {(r.batch_no, r.pos): (r.insight, r.knowledge, r.final, r.kept, r.place) for r in R.reviewed(notes, answers).collect()}
+    assert got == {(1, 0): (2, 2, 4, False, None), (1, 1): (3, 3, 10, True, 1), (1, 2): (3, 3, 6, True, 2), (1, 3): (3, 3, 6, True, 3), (2, 0): (3, 3, 6, True, 1)}
+    assert {r.batch_no: (r.kept, r.dropped) for r in R.stats(R.reviewed(notes, answers)).collect()} == {1: (3, 1), 2: (1, 0)}
+    assert [r[0] for r in spark.createDataFrame([(0.9,), (0.7,), (None,)], "s double").select(R.band(F.col("s"))).collect()] == ["high", "mid", "plain"]
+
+
+def test_corpus_matches(spark):
+    text = "the old mill beside the river was rebuilt by two brothers in autumn and sold again later"
+    new = spark.createDataFrame([("a", "the old mill", text), ("b", None, "nothing of that kind is here at all today"), ("c", "t", None), ("d", "", "")], "key string, title string, content string")
+    bags = O.bag_lists(new.where("key = 'a'"), "key", "content")
+    fp = O.simhash(bags, "key", "bag").first().fp
+    bag = bags.first().bag
+    rows = [("p/near", bag, [], [x.token for x in bag[:5]], len(text), 5, fp), ("p/long", bag, [], [x.token for x in bag[:5]], 3 * len(text), 5, fp), ("p/none", None, None, None, None, 5, 0)]
+    held = spark.createDataFrame(rows, "path string, tokens array<struct<token:string,freq:int>>, title_tokens array<struct<token:string,freq:int>>, top_tokens array<string>, content_length int, title_len int, fp bigint")
+    got = {r.key: r for r in O.corpus_matches(new, held).collect()}
+    assert set(got) == {"a"} and got["a"].path == "p/near" and got["a"].similarity > 0.6
+    meaning = spark.createDataFrame([("a", 0.1, "x"), ("b", 0.7, "y")], "key string, similarity double, path string")
+    merged_ = {r.key: (r.path, r.semantic) for r in O.with_meaning(O.corpus_matches(new, held), meaning).collect()}
+    assert merged_ == {"a": ("p/near", 0.1), "b": ("y", 0.7)}
 
 
 def test_batch_duplicates(spark):
