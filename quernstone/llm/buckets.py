@@ -114,9 +114,12 @@ def chain_batches(batches):
     yield None
 
 
-def bucket_pairs(rows: DataFrame, depth: int, cap: int, ratio: float, near: int = 8, order: tuple[str, ...] = ("n", "id")) -> DataFrame:
+def bucket_pairs(rows: DataFrame, depth: int, cap: int, ratio: float, near: int = 8, order: tuple[str, ...] = ("n", "id"), split: list[DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of records in one bucket; a pair may come more than once.
 
+    ``split``: a list that takes the rows (id) of all buckets beyond the cap,
+    whose pairs need not all be here.
+
     ``rows``: id, n (size of the record), q (whether it asks; of a pair one at
     least does), w (weight of a shared key), k1 .. k<depth> (keys, each finer
     than the one before, null where a record has no such key). Sizes of a pair
@@ -139,6 +142,8 @@ def bucket_pairs(rows: DataFrame, depth: int, cap: int, ratio: float, near: int
         done = cut(ran)
         out.append(done.where("pair").select(F.col("id").alias("a"), "b", "w", "n"))
         at = done.where("not pair")
+        if split is not None and d == 1:
+            split.append(at.select("id"))
     return reduce(DataFrame.unionByName, out)
 
 
