@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, SOFT, HARD, START = range(5)
-DEPTHS = 8
+DEPTHS = 16  # more than there are kinds of stretches, which are not nested in their own kind
 CHUNK = 64
 
 #: Abbreviations that a name, a number or a further word follows, whatever its case.
@@ -46,8 +46,16 @@ NAMED = re.compile(r"(?:[^\W\d_][\w’'-]*\s+){1,4}?(?:asked|said|cried|shouted|
 _BLANK = r"[^\S\r\n]"
 _GAP = re.compile(rf"(?:\r\n|\n|\r){_BLANK}*(?:\r\n|\n|\r)\s*")
 _ITEM = re.compile(rf"(?:^|(?<=[\n\r])){_BLANK}*(#{{1,6}}{_BLANK}|[-*+•‣◦·▪–]{_BLANK}+|\d{{1,3}}[.)]{_BLANK}+|[（(]\d{{1,2}}[)）]|\d{{1,2}}、)")
-_PAIR = re.compile(r"“[^“”]{0,600}?”|„[^„“”]{0,600}?[“”]|«[^«»]{0,600}?»|「[^「」]{0,600}?」|『[^『』]{0,600}?』|\"[^\"\n]{1,400}?\"|《[^《》]{0,200}?》|‘[^‘’]{1,300}?[.!?…]’")
-_BRACKET = re.compile(r"\([^()]{0,400}?\)|（[^（）]{0,400}?）|\[[^\[\]]{0,400}?\]|【[^【】]{0,400}?】")
+
+
+def _within(left: str, right: str, never: str, least: str = "") -> str:
+    """A stretch from ``left`` to ``right`` without signs of ``never``, of any length, that no blank line parts."""
+    n = re.escape(never)
+    return rf"{re.escape(left)}{least}[^{n}\n]*+(?:\n(?!{_BLANK}*[\r\n])[^{n}\n]*+)*+[{re.escape(right)}]"
+
+
+_PAIR = re.compile("|".join(_within(*x) for x in (("“", "”", "“”"), ("„", "“”", "„“”"), ("«", "»", "«»"), ("「", "」", "「」"), ("『", "』", "『』"), ("《", "》", "《》"))) + r"|\"[^\"\n]+\"|‘[^‘’]+(?<=[.!?…])’")
+_BRACKET = re.compile("|".join(_within(*x) for x in (("(", ")", "()"), ("（", "）", "（）"), ("[", "]", "[]"), ("【", "】", "【】"))))
 _MARK = re.compile(r"([.!?…。！？؟।॥｡]+)((?:[   ]?»|[”’\"」』)\]）】›]|(?<=[.!?…])“)*)")
 _THAI = re.compile(r"(?<=[ก-๎])[  ]+(?=[ก-๎])")
 _WORD = re.compile(r"[^\s(（\[“„«»\"‘’'—–/,;:]*$")
