@@ -397,9 +397,10 @@ def t3_inverted_index(spark, d):
     return newest_index(spark, d).select("path", F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n_paths"), F.min("path").alias("first_path"))
 
 
-@query("select distinct path, title from discovery_index where contains(lower(title), 'ka')")
+@query("select path, title from (select distinct path, title from discovery_index where contains(lower(title), 'ka')) order by path, title limit 50")
 def o51_title_search(spark, d):
-    return load(spark, d, "discovery_index").where(F.contains(F.lower("title"), F.lit("ka"))).select("path", "title").distinct()
+    """The first fifty records whose title has the words, whatever their case."""
+    return load(spark, d, "discovery_index").where(F.contains(F.lower("title"), F.lit("ka"))).select("path", "title").distinct().orderBy("path", "title").limit(50)
 
 
 # Caches -----------------------------------------------------------------------
@@ -664,6 +665,28 @@ def c6_verified_only(spark, d):
     return load(spark, d, "notes").where("note_id is not null").select("note_id").distinct().join(bad, "note_id", "left_anti")
 
 
+@query(CHECKED_SQL + """, k as (select note_id, count(*) filter (where status = 'traced') as t, count(*) filter (where status = 'compare') as c, count(*) filter (where status = 'out of scope') as o from v group by note_id)
+select note_id, case when o > 0 then 'out of scope' when c > 0 then 'compare' when t > 0 then 'traced' else 'none' end as label from (select distinct note_id from notes where note_id is not null) left join k using (note_id)""")
+def o64_labels(spark, d):
+    """The label of each note: by its worst claim; none where it has no claims."""
+    return _labelled(spark, d).select("note_id", "label")
+
+
+def _labelled(spark, d):
+    has = lambda s: F.max((F.col("status") == s).cast("int")) == 1
+    worst = F.when(has("out of scope"), "out of scope").when(has("compare"), "compare").otherwise("traced")
+    notes = load(spark, d, "notes").where("note_id is not null").select("note_id").distinct()
+    return notes.join(_checked(spark, d).groupBy("note_id").agg(worst.alias("label")), "note_id", "left").na.fill("none", ["label"])
+
+
+@query(CHECKED_SQL + """, k as (select note_id, bool_or(status <> 'traced') as bad from v group by note_id)
+select count(*)::bigint as notes, count(*) filter (where bad)::bigint as issues, count(*) filter (where not bad)::bigint as traced from (select distinct note_id from notes where note_id is not null) left join k using (note_id)""")
+def o61_counts(spark, d):
+    """Notes, those with a claim to compare or out of scope, and those whose claims are all traced."""
+    label = F.col("label")
+    return _labelled(spark, d).agg(F.count("*").alias("notes"), F.count_if(label.isin("out of scope", "compare")).alias("issues"), F.count_if(label == "traced").alias("traced"))
+
+
 # Notes ----------------------------------------------------------------------------
 
 
@@ -720,7 +743,7 @@ def o54_history(spark, d):
 
 
 @query("""select batch_no, count(*)::bigint as notes, count(*) filter (where content is null or not regexp_matches(content, '\\S'))::bigint as blank, count(*) filter (where source is null)::bigint as without_source from (select distinct * from incoming_notes) group by batch_no""")
-def o61_counts(spark, d):
+def batch_blanks(spark, d):
     n = load(spark, d, "incoming_notes").distinct()
     return n.groupBy("batch_no").agg(F.count("*").alias("notes"), F.count_if(F.col("content").isNull() | ~F.col("content").rlike(r"\S")).alias("blank"), F.count_if(F.col("source").isNull()).alias("without_source"))
 
@@ -751,6 +774,14 @@ def t8_url_cache(spark, d):
     return u.groupBy("url").agg(F.min_by("page_id", F.struct("fetched_at", "page_id")).alias("page_id"))
 
 
+@query("""select distinct url, page_id from url_extracts where url is not null and (fetched_at is null or fetched_at + interval 60 minute <= timestamp '2025-01-15 12:00:00')""")
+def t8_expired(spark, d):
+    """What a cache of pages would drop as older than an hour at a given time."""
+    from quernstone.streaming.feeds import expired
+
+    return expired(load(spark, d, "url_extracts").where("url is not null"), "2025-01-15 12:00:00", "fetched_at").select("url", "page_id").distinct()
+
+
 # Pages, chunks, streams ----------------------------------------------------------------
 
 
@@ -758,16 +789,34 @@ def _escaped(c):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
 
 
-@query(r"""with p as (select distinct page_id, trim(regexp_replace(content, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) as c, coalesce(nullif(title, ''), '') as t from url_extracts where page_id is not null and length(content) > 0)
-select page_id, case when length(c) >= 100 then true else false end as success, case when length(c) >= 100 then c end as content from p""")
+HTML_BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""with p as (select distinct page_id, page_id % 6 as v, host, coalesce(publish_date, '') as d, regexp_replace(regexp_replace(coalesce(title, ''), '{HTML_BLANK}+', ' ', 'g'), '^ | $', '', 'g') as t,
+ trim(regexp_replace(content, '{HTML_BLANK}+', ' ', 'g')) as c from url_extracts where page_id is not null and length(content) > 0),
+e as (select *, case when v = 5 then c || ' 【配图说明】 [图] pic' when v = 0 and t <> '' then t || ' ' || c else c end as w from p),
+k as (select *, case when v = 1 then 'META_REFRESH' when v = 3 then 'EMPTY_HTML' when v = 4 or length(w) < 50 then 'REQUIRES_JS' when length(w) < 100 then 'CONTENT_TOO_SHORT' end as error_code from e)
+select page_id, error_code is null as success, case when v = 4 then '' when v = 1 or v = 3 then null when v = 5 then 'Site' when v in (0, 2) then coalesce(nullif(t, ''), 'Site') end as title, case when error_code is null then w end as content,
+ case when error_code is null then case v when 0 then d when 2 then '2024-05-01' else '' end end as publish_date, error_code, case when v = 1 then 'https://' || host || '/x' end as redirect_url from k""")
 def o03_html(spark, d):
-    """The text of pages that hold each content between a menu and a footer."""
+    """What six kinds of pages made around each content give: headline and date, redirection, titles of metadata, nothing, scripts only, pictures."""
     ship(spark)
     from quernstone.sources.html import extract
 
-    p = load(spark, d, "url_extracts").where("page_id is not null and length(content) > 0").select("page_id", "content").distinct()
-    html = F.concat(F.lit("<html><head><title>t</title></head><body><nav>Home News</nav><main>"), _escaped(F.col("content")), F.lit("<div class='ad-banner'>buy</div></main><footer>c</footer></body></html>"))
-    return extract(p.select("page_id", html.alias("html")), "page_id", "html").select("page_id", "success", "content")
+    p = load(spark, d, "url_extracts").where("page_id is not null and length(content) > 0").select("page_id", "host", "title", "content", "publish_date").distinct()
+    c, v = _escaped(F.col("content")), F.col("page_id") % 6
+    t = F.regexp_replace(_escaped(F.coalesce("title", F.lit(""))), '"', "&quot;")
+    page = lambda head, body: F.concat(F.lit("<html><head><title>Site</title>"), *head, F.lit("</head><body><nav>Home News</nav>"), *body, F.lit("<footer>c</footer></body></html>"))
+    lit = F.lit
+    html = (
+        F.when(v == 0, page([lit('<meta property="article:published_time" content="'), F.coalesce("publish_date", lit("")), lit('">')], [lit("<article><h1>"), t, lit(" </h1><p>"), c, lit("</p><div class='ad-banner'>buy</div></article>")]))
+        .when(v == 1, F.concat(lit('<meta http-equiv="Refresh" content="0; url=https://'), "host", lit('/x">')))
+        .when(v == 2, page([lit('<meta property="og:title" content="'), t, lit('">')], [lit("<main>"), c, lit("<p hidden>no</p><div role='complementary'>no</div></main><time datetime='2024-05-01'>May</time>")]))
+        .when(v == 3, lit("  "))
+        .when(v == 4, lit("<div id='app'></div><script>run()</script>"))
+        .otherwise(page([], [lit("<main>"), c, lit("<img src='a.png' alt='pic'></main>")]))
+    )
+    return extract(p.select("page_id", html.alias("html")), "page_id", "html")
 
 
 @query("select doc_id, length(text) <= 10000 as single, true as whole from documents where text is not null")
