@@ -532,6 +532,7 @@ def profile_code_blocks(spark, d):
     return docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"```[\s\S]*?```")).alias("n"))
 
 
+#: Words of a narrative.
 NARRATIVE = "然而 但是 却 不禁 渐渐 终于 忽然 突然 似乎 仿佛 依然 仍然 默默 悄悄 缓缓 淡淡 深深 轻轻 回忆 想起 记得 故事 情感 感受 心情 思绪 目光 微笑 沉默 叹息".split()
 
 
@@ -901,6 +902,7 @@ def g3_stuffing(spark, d):
     return sizes.select("doc_id", G.stuffing_status(F.col("len"), F.col("f"), F.col("uniq"), F.col("top"), BAL).alias("status"))
 
 
+#: Figures, amounts and years that count as data points.
 DATA = [
     r"(?:约|近|超|达)?\d+(?:\.\d+)?%",
     r"(?i)\d+(?:\.\d+)?\s*(?:mV|kV|V|mW|kW|MW|GW|TW|W|mWh|kWh|MWh|GWh|mA|kA|A|Ω|mΩ|Hz|kHz|MHz|GHz|μF|mF|nF|pF|°C|°F|mm|cm|m|km|kg|t|Pa|kPa|MPa|bar|ppm|ppb|dB|dBm)",
@@ -914,13 +916,29 @@ def _data_points(text):
     return F.size(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 0) for p in DATA], years)))
 
 
-@query()
+def data_sql(c: str) -> str:
+    """Number of different data points of the text ``c``; years have no digit on either side, so separators are doubled to be shared by two."""
+    found = ", ".join(f"regexp_extract_all({c}, {lit(p.removeprefix('(?i)'))}, 0, {lit('i' if p.startswith('(?i)') else '')})" for p in DATA)
+    doubled = f"'  ' || regexp_replace({c}, '([^0-9])', '\\1\\1', 'g') || '  '"
+    years = rf"regexp_extract_all({doubled}, '[^0-9](\d{{4}}(?:(?:--|//|年年)\d{{1,2}}(?:(?:--|//|月月)\d{{1,2}})?)?)[^0-9]', 1)"
+    plain = f"list_transform(list_filter({years}, lambda y: substring(y, 1, 4)::int between 1900 and 2100), lambda y: replace(replace(replace(replace(y, '--', '-'), '//', '/'), '年年', '年'), '月月', '月'))"
+    return f"len(list_distinct(list_concat({found}, {plain})))"
+
+
+PROFILE_SQL = f"""t as materialized (select doc_id, text as whole, {MARKUP_SQL} as text from documents where text is not null),
+f as (select doc_id, whole, {js('whole')} as n, greatest(1, {js()}) as m, {data_sql('text')} as points, {" + ".join(f"len(regexp_extract_all(text, '{w}'))" for w in NARRATIVE)} as told, {PARA} as paras,
+ len(list_filter(regexp_extract_all(text, '\\b[a-zA-Z]{{3,}}\\b'), lambda w: lower(w) not in ({STOP_SQL}))) + len(regexp_extract_all(text, '[a-zA-Z]+/[a-zA-Z]+')) + len(regexp_extract_all(text, '[a-zA-Z]+-[a-zA-Z]+')) as terms from t),
+p as (select *, case when n < 100 then 'balanced' when len(regexp_extract_all(whole, '```[\\s\\S]*?```')) >= 1 or terms / m * 1000.0 >= 5 or points / m * 1000.0 >= 4 then 'dense'
+ when case when len(paras) = 0 then 0 else list_sum(list_transform(paras, lambda p: {js('p')})) / len(paras)::double end > 300 and told / m * 1000.0 >= 2 then 'sparse' else 'balanced' end as profile from f)"""
+
+
+@query("with " + PROFILE_SQL + " select doc_id, round(points / m * 1000.0, 6) as density from f")
 def profile_data(spark, d):
     t = T.strip_markup(F.col("text"))
     return docs(spark, d).select("doc_id", F.round(_data_points(t) / F.greatest(F.lit(1), T.js_len(t)) * 1000, 6).alias("density"))
 
 
-@query()
+@query("with " + PROFILE_SQL + " select doc_id, profile from p")
 def profile_of(spark, d):
     """dense, sparse or balanced of every text."""
     t = F.col("text")
@@ -933,6 +951,13 @@ def profile_of(spark, d):
     return docs(spark, d).select("doc_id", F.when(T.js_len(t) < 100, "balanced").when(dense, "dense").when((mean > 300) & (told >= 2), "sparse").otherwise("balanced").alias("profile"))
 
 
+@query("with " + PROFILE_SQL + " select d.doc_id, coalesce(case when doc_id % 7 = 0 then 'sparse' when doc_id % 7 = 1 then 'dense' end, profile, 'balanced') as profile from documents d left join p using (doc_id)")
+def profile_selected(spark, d):
+    """The profile chosen by hand, here for some documents, else the one found, else balanced."""
+    by_hand = F.when(F.col("doc_id") % 7 == 0, "sparse").when(F.col("doc_id") % 7 == 1, "dense")
+    return load(spark, d, "documents").select("doc_id").join(profile_of(spark, d), "doc_id", "left").select("doc_id", F.coalesce(by_hand, "profile", F.lit("balanced")).alias("profile"))
+
+
 REVIEW_SQL = """n as (select batch_no, note_id, row_number() over (partition by batch_no order by doc_pos, note_id) - 1 as pos from (select distinct batch_no, doc_pos, note_id from incoming_notes where note_id is not null)),
 g as (select *, batch_no % 4 = 3 as broken, pos % 9 = 5 as missing, pos % 6 = 2 as twice from n),
 k as (select *, case when broken or missing then 3 when twice then 5 else greatest(1, least(5, pos % 8 - 1)) end as insight, case when broken or missing or pos % 5 = 0 then 3 else greatest(1, least(5, floor(pos % 7 + 0.5))) end as knowledge,
