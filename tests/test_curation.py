@@ -270,3 +270,15 @@ def test_injected_calls(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "id int, t string")
     assert O.run_injected(df, lambda xs: [x.upper() for x in xs], "t", "u", "string").where("u = upper(t)").count() == 40
     assert O.run_injected(df, lambda xs: 1 / 0, "t", "u", "string").where("u is null").count() == 40
+
+
+def test_traced_sentence_starts_on_its_own_line(spark):
+    df = spark.createDataFrame([("42%", "numeric", "the mill\n42% of them stood.\nEnd"), ("50%", "numeric", "a line\n49% \x85 left"), ("x", None, "x")], "a string, k string, s string")
+    got = [tuple(r[0]) for r in df.select(C.traced(F.col("a"), F.col("k"), F.col("s"))).collect()]
+    assert got[0] == ("traced", "42% of them stood.", None) and got[1] == ("traced", "49% \x85 left", "49")
+
+
+def test_traced_runs_once_a_claim(spark):
+    df = spark.createDataFrame([("42%", "numeric", "42%")], "a string, k string, s string").select(C.traced(F.col("a"), F.col("k"), F.col("s")).alias("t")).select("t.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("traced(") == 1
