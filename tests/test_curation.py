@@ -282,3 +282,16 @@ def test_traced_runs_once_a_claim(spark):
     df = spark.createDataFrame([("42%", "numeric", "42%")], "a string, k string, s string").select(C.traced(F.col("a"), F.col("k"), F.col("s")).alias("t")).select("t.*")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("traced(") == 1
+
+
+def test_related_pairs_are_not_shuffled(spark):
+    draw = random.Random(5)
+    rows = [(f"p{i}", draw.sample("abcdefghijklmnop", draw.randrange(0, 6))) for i in range(300)] + [("lone", None)]
+    df = spark.createDataFrame(rows, "path string, keywords array<string>")
+    asked = F.col("path").rlike("7$")
+    want = {(q, p, len(set(a) & set(b)) / len(set(a) | set(b))) for q, a in rows for p, b in rows if q.endswith("7") and p != q and b and set(a) & set(b)}
+    for block in (4, 16_384):
+        got = O.related(df, asked, block)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert O.related(df, F.lit(False)).count() == 0
