@@ -295,3 +295,18 @@ def test_related_pairs_are_not_shuffled(spark):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert O.related(df, F.lit(False)).count() == 0
+
+
+def test_near_titles_turn_down_before_edits_are_counted(spark):
+    draw = random.Random(7)
+    words = ["river", "mill", "Klyvis", "turbine", "kiln", "机器学习", "入门", "of", "a", "é"]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(1, 7))) for _ in range(150)] + ["x", "xy", "ab", "aaaaaaaaaa", "aaaaaaaaab"]
+    texts += ["".join(draw.choice("ab é") if draw.random() < 0.15 else c for c in t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    similar = T.edit_similarity(F.col("s"), F.col("t")) >= 0.7
+    x, y = df.select(F.col("id").alias("x"), F.col("text").alias("s")), df.select(F.col("id").alias("y"), F.col("text").alias("t"))
+    want = {(r.x, r.y) for r in x.join(y).where(similar).collect()}
+    for block in (50, 16_384):
+        met = O.near_titles(df, df, block=block)
+        assert {(r.x, r.y) for r in met.where(similar).collect()} == want and met.count() < len(texts) ** 2 / 4
+    assert O.near_titles(df.where("false"), df).count() == 0
