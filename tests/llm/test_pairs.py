@@ -84,6 +84,12 @@ def test_near_notes_empty_and_long(spark):
     assert near_notes.found(df).count() == 1
 
 
+def test_near_notes_values_are_counted_in_all_texts(spark):
+    """Each of 41 000 texts counts: of so many a sample was taken before."""
+    texts = spark.range(41_000).selectExpr("id", "concat('mill', lpad(id, 5, '0')) as text")  # 5 runs of five signs each
+    assert near_notes.value_counts(texts).sum() == 41_000 * 5
+
+
 def test_large_group_is_linked_without_all_pairs(spark):
     """A bucket far beyond the bound: every member is linked to some other one."""
     rows = spark.range(3000).selectExpr("id", "10 as n", "true as q", "1 as w", "5L as k1", "6L as k2")
