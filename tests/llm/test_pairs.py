@@ -246,6 +246,18 @@ def test_neighbours_recall(spark):
     assert (50, 51) in got
 
 
+def test_neighbours_are_the_same_however_indexes_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 64))
+    rows = [(i, (base[i % 60] + 0.45 * rng.standard_normal(64)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = []
+    for most in (1 << 18, 110):  # whole, and in eight parts or more
+        monkeypatch.setattr(neighbours, "CHUNK", most)
+        got.append({(r.a, r.b, round(r.s, 9)) for r in neighbours.partners(df, 1000, 0.7).collect()})
+    assert got[0] == got[1] and len(got[0]) > 5000
+
+
 def test_neighbours_of_copies_and_none(spark):
     shape = "vec_id bigint, path string, m bigint, v array<double>"
     v = [float(i % 7 + 1) for i in range(64)]
