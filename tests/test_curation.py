@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import claims as C
@@ -11,6 +12,7 @@ from quernstone.functions import text as T
 from quernstone.functions.model_output import parse_notes
 from quernstone.functions.segment import Segmenter, bags
 from quernstone.operators import corpus as O
+from quernstone.plans.curation import QUERIES, SQL
 from quernstone.sources.chunks import chunked, cut_places
 from quernstone.sources.html import extract, read_html
 from quernstone.streaming.feeds import KeptTable, debounced, document_counts, expired, merged, renames
@@ -310,3 +312,18 @@ def test_near_titles_turn_down_before_edits_are_counted(spark):
         met = O.near_titles(df, df, block=block)
         assert {(r.x, r.y) for r in met.where(similar).collect()} == want and met.count() < len(texts) ** 2 / 4
     assert O.near_titles(df.where("false"), df).count() == 0
+
+
+def test_claims_of_a_note_lie_in_one_row(spark, tmp_path):
+    """Claims are found, traced and looked at again by one call a note each; rows are as by SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    notes = [(f"n{i}", f"s{i % 3}", f"Mill {i} gained {40 + i}% in 2021. Old Mill Trust said {i} km. It is so.", i) for i in range(9)] + [("n0", "s0", "It stood. So it was. Another 99% there. And 7 km off.", 50), ("n1", "s1", "Mill 1 gained 41% in 2021. Old Mill Trust said 1 km. It is so.", 60), ("x", "s1", "no", 70), ("y", None, "50% of it.", 80), ("z", "s9", None, 90)]
+    spark.createDataFrame(notes, "note_id string, source string, content string, saved_at bigint").write.parquet(str(tmp_path / "notes.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view notes as from '{tmp_path}/notes.parquet/*.parquet'")
+    for name, calls in (("c5_compared", 3), ("c4_verified", 3), ("c6_verified_only", 3), ("o64_labels", 3), ("o61_counts", 3), ("c2_trace", 2), ("c1_claims", 1)):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(plan.count(f"{f}(") for f in ("note_claims", "traced_notes", "_looked")) == calls, name
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        want = duck.sql(SQL[name]).fetchall()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
