@@ -299,6 +299,22 @@ def test_related_pairs_are_not_shuffled(spark):
     assert O.related(df, F.lit(False)).count() == 0
 
 
+def test_recommended_rounds_are_made_where_a_query_lies(spark):
+    """Picks are those of mmr over all related records, and no pair of records is written or shuffled."""
+    draw = random.Random(8)
+    rows = [(f"p{i}", draw.sample("abcdefghijklmnop", draw.randrange(0, 6)) + [f"own{i}"] * draw.randrange(2)) for i in range(300)] + [("lone", ["x"]), ("none", None), ("p1 copy", ["a", "b"]), ("p2 copy", ["a", "b"])]
+    df = spark.createDataFrame(rows, "path string, keywords array<string>")
+    for asked in (F.col("path").rlike("7$|copy"), F.lit(True)):
+        got = O.recommended(df, asked, 6)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and "Union" not in got._jdf.queryExecution().executedPlan().toString()
+        near = O.related(df, asked).join(df, "path")
+        want = {(r.query, r.rank, r.path, round(r.similarity, 9)) for r in O.mmr(near, 6).collect()}
+        assert {(r.query, r.rank, r.path, round(r.similarity, 9)) for r in got.collect()} == want and len(want) > 100
+    few = lambda most: {tuple(r) for r in O.recommended(df, F.col("path") == "p7", 6, most=most).collect()}
+    assert few(0) == few(1 << 24)  # as tables, where the keywords are too many to be sent
+    assert O.recommended(df, F.lit(False)).count() == 0 and O.recommended(df.where("false"), F.lit(True)).count() == 0
+
+
 def test_near_titles_turn_down_before_edits_are_counted(spark):
     draw = random.Random(7)
     words = ["river", "mill", "Klyvis", "turbine", "kiln", "机器学习", "入门", "of", "a", "é"]
