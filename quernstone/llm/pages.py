@@ -62,6 +62,10 @@ _LINK = re.compile(r"https?://|www\.|→ ?[\w-]+\.\w+|\b[\w-]+\.[a-z]{2,8}/")
 _ITEM = re.compile(r"^\s*(?:[-*•–»]|\d+[.)]|\[\d+\])\s")
 #: Structure that stands in articles: items, captions and references in brackets, quotations.
 _MARK = re.compile(r"^(?:[-*•–»\[“„«「『\"]|\d+[.)])")
+#: What bytes of other encodings are shown as.
+_AS_BYTES = {ord(bytes([x]).decode("cp1252")): x for x in range(128, 160) if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_BYTES = re.compile("[\x80-\xff]")
+_MARKS = re.compile(r"[.!?](?:\s|$)|[。！？؟।]")
 _EAST = re.compile("[぀-ヿ㐀-鿿]")
 _HEAD = re.compile(r"[^:：|｜·–—\d#]{1,24}[:：|｜·–—]")
 _VALUE = re.compile(r"[:：] ?[\d.,]+|\|")
@@ -92,6 +96,19 @@ def is_body(x: str) -> bool:
     return is_prose(x) or len(x) >= 150 and not _LINK.search(x)
 
 
+def restored(s: str) -> str:
+    """A line of a script of several bytes a sign that was decoded as one of others; else as it is. Lost bytes stay lost."""
+    if len(s) < 45 or s.isascii():
+        return s
+    raw = s.translate(_AS_BYTES).encode("latin-1", "ignore")
+    pairs = [(raw, "utf-8"), (raw, "gb18030")] if 2 * len(raw) > len(s) and _BYTES.search(s) else [(s.encode("gb18030", "ignore"), "utf-8")]
+    for data, kind in pairs:
+        out = data.decode(kind, "ignore")
+        if len(out) < 0.75 * len(s) and len(out.encode(kind, "ignore")) > 0.8 * len(data):
+            return out
+    return s
+
+
 def is_loose(s: str, prose: bool) -> bool:
     """Whether a line is no sentence: too short or without an end, or a long one that strings or repeats words."""
     if not prose:
@@ -165,7 +182,9 @@ def _look(s: str) -> tuple:
     prose = is_prose(s)
     body = prose or len(s) >= 150 and not _LINK.search(s)
     f, w = BODY if body else 0, ()
-    if is_loose(s, prose):
+    # The end of a garbled paragraph may be lost; one with marks within is taken as sentences, unless it repeats itself.
+    text = s if prose else restored(s)
+    if is_loose(text, prose or text is not s and bool(_MARKS.search(text))):
         w = words(s)
         f |= LOOSE | (LINK if _LINK.search(s) else 0)
     f |= (ITEM if _ITEM.match(s) else 0) | (END if _END.search(s[-12:]) else 0) | (BRACKET if s[0] == "[" else 0) | (QUOTE if s[0] in "“「«„" else 0)
@@ -538,7 +557,10 @@ def replicated(found: DataFrame, hosts: int) -> np.ndarray:
 def evidence(b: _Batch, bits: np.ndarray) -> np.ndarray:
     """Of each page's own text: share outside of sentences; of that, words in replicated phrases, lines that are links, lines that have the commonest word; lines outside; bytes."""
     own = b.own(b.roles(False))
-    loose = own & (b.flags & LOOSE > 0)
+    # What stands in articles outside of sentences is no evidence: items, captions, numbered references, quotations. Other links are, whatever their mark.
+    f = b.flags & (ITEM | BRACKET | LINK)
+    marked = (f == ITEM) | (f == BRACKET) | (f & (ITEM | BRACKET) == ITEM | BRACKET) | (b.flags & QUOTE > 0)
+    loose = own & (b.flags & LOOSE > 0) & ~marked
     size = b.flat("size").astype(np.float64)
     line, w, g, inside = _phrases(b, loose)
     at = g & ((1 << TABLE_BITS) - 1)

@@ -188,3 +188,19 @@ def test_pages(spark):
         got.setdefault(r.page_id, []).append(r.line_no)
     assert set(got) == set(range(6)) and all(sorted(v) == [2, 4, 5, 6, 7] for v in got.values())
     assert pages.articles(df.where("false")).count() == 0
+
+
+def test_what_stands_in_articles_is_no_spam(spark):
+    """Captions, items, references and garbled paragraphs count for nothing; links do, whatever their mark."""
+    names = ["mill", "kiln", "dock", "loom", "weir", "pump", "tram", "quay"]
+    word = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731 - numbers are masked
+    name = lambda n: f"{names[n % 8]} and {names[n // 8 % 8]}"
+    rows = []
+    for i in range(24):
+        links = [f"{'-»'[j % 2]} https://{word(i)}{word(j)}.example/{word(i * j)}" for j in range(20)]
+        body = f"The {names[i % 8]} of {word(i)}q was rebuilt in the end, as its owner said to visitors."
+        lines = [f"[Photo] Notes from {word(i)}s: {name(i)}", *(f"- How the {name(i + j)} was cleaned in {word(i)}u{word(j)}" for j in range(7)), *(f"[{j}] Why the {name(3 * i + j)} was closed in {word(i)}t{word(j)}, https://{word(i)}.example/{word(j)}" for j in range(1, 6))]
+        garbled = ["".join(chr(0x4E00 + (7 * i + 31 * j + 97 * k) % 4000) for k in range(40)) + "。" + "水车磨坊" * 2 for j in range(6)]
+        rows += [(3 * i, f"h{i}.test", f"r{word(i)}", "\n".join([f"r{word(i)}", body, *lines])), (3 * i + 1, f"h{i}.test", f"s{word(i)}", "\n".join([f"s{word(i)}", *links])), (3 * i + 2, f"h{i}.test", f"g{word(i)}", "\n".join(x.encode().decode("latin-1") for x in garbled))]
+    df = spark.createDataFrame(rows, "page_id bigint, host string, title string, content string")
+    assert {r.page_id for r in pages.spam_pages(df).collect()} == {3 * i + 1 for i in range(24)}
